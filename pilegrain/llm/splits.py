@@ -2,7 +2,7 @@
 
 Method: minimum labels travel over the bipartite graph of records and entities (a person, a
 photo): an entity takes the least label of its records, a record the least of its entities, and a
-label may jump to its own label, until nothing changes. The bundles so found are then assigned
+label takes over what its records learnt and jumps to its own label, until nothing changes. The bundles so found are then assigned
 whole, so that the mix of strata in each split follows the whole.
 
 Scale: labels are minima that combine map-side; an entity with more than a thousandth of all links
@@ -46,8 +46,10 @@ def bundles(links: DataFrame, record: str, entity: str, bundle: str = "bundle",
         least = known.groupBy("e", "hot").agg(F.min("l").alias("l"))
         spread = least.select("e", "l", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("s"))
         told = pairs.join(spread, ["e", "s"]).groupBy("r").agg(F.min("l").alias("new"))
-        step = labels.join(told, "r").select("r", "l", "new")
-        jumped = step.join(step.select(F.col("r").alias("new"), F.col("new").alias("far")), "new", "left").select("r", "l", F.least("new", F.coalesce("far", "new")).alias("new"))
+        step = cut(labels.join(told, "r").select("r", "l", "new"))
+        hooked = step.where("new < l").groupBy(F.col("l").alias("r")).agg(F.min("new").alias("hook"))
+        step = step.join(hooked, "r", "left").select("r", "l", F.least("new", "hook").alias("new"))
+        jumped = step.join(step.select(F.col("r").alias("new"), F.col("new").alias("far")), "new", "left").select("r", "l", F.least("new", "far").alias("new"))
         step = cut(jumped)
         labels = step.select("r", F.col("new").alias("l"))
         if step.where("new <> l").isEmpty():
