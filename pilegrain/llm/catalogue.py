@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pilegrain.llm import queries_caps, queries_consolidate, queries_encode, queries_mixing, queries_piles, queries_quota, queries_splits, queries_stable
+from pilegrain.llm import queries_caps, queries_consolidate, queries_encode, queries_mixing, queries_personal, queries_piles, queries_quota, queries_splits, queries_stable
 
-_MODULES = (queries_piles, queries_splits, queries_quota, queries_consolidate, queries_stable, queries_caps, queries_encode, queries_mixing)
+_MODULES = (queries_piles, queries_splits, queries_quota, queries_consolidate, queries_stable, queries_caps, queries_encode, queries_mixing, queries_personal)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
