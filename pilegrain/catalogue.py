@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pilegrain.plans import instants
+from pilegrain.plans import instants, library
 
-QUERIES = {"p4_found": instants.p4_found}
-ORACLE: dict[str, str] = {}
+_MODULES = (library,)
+QUERIES = {"p4_found": instants.p4_found} | {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
