@@ -243,6 +243,9 @@ def _utc_us(value: pa.Array, zone: pa.Array) -> pa.Array:
     return normalise(value, zone)
 
 
+_utc_us = _utc_us.asNondeterministic()  # else a filter on the result is pushed below it and parses every value twice
+
+
 def utc_us(value: Column, zone: Column) -> Column:
     """Microseconds since 1970 UTC of a written time, null where it holds none."""
     return _utc_us(value.cast("string"), zone.cast("string"))
