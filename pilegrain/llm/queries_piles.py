@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pilegrain.llm.piles import members, piles, quantised, unpacked
+from pilegrain.llm.piles import described, members, piles, quantised
+from pilegrain.session import cut
 from pilegrain.sources.tables import table
 
 DIM = 256
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Current usable vectors of the model with the most faces."""
+    """Current usable vectors of the model with the most faces; equal counts fall to the first model by name."""
     rows = table(spark, sf_dir, "face_embeddings")
     model = rows.where("model IS NOT NULL").groupBy("model").agg(F.countDistinct("face_id").alias("faces")).orderBy(F.desc("faces"), "model").first()
     return quantised(rows.where(F.col("model") == (model["model"] if model else "")), "face_id", "created_at", "embedding", DIM)
@@ -24,5 +23,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members(piles(_vectors(spark, sf_dir), DIM), "face_id", "pile_face_id")
 
 
-QUERIES = {"p1_found": p1_found}
+def p1_piles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and three most typical faces of every pile."""
+    vectors = _vectors(spark, sf_dir)
+    found = described(cut(piles(vectors, DIM, sums=True)), vectors, DIM)
+    return found.select(F.col("pile").alias("pile_face_id"), "size", F.concat_ws(",", F.col("typical").cast("array<string>")).alias("typical_faces"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_piles": p1_piles}
 ORACLE: dict[str, str] = {}
