@@ -38,4 +38,7 @@ links AS (SELECT a, b FROM same UNION SELECT b, a FROM same),
 reach(v, u) AS (SELECT a, a FROM links UNION SELECT l.b, r.u FROM reach r JOIN links l ON l.a = r.v WHERE r.u < l.b),
 found AS (SELECT v AS face_id, min(u) AS group_face_id FROM reach GROUP BY v)
 """
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "p5_found": _CLOSURE + "SELECT face_id, group_face_id FROM found",
+    "p5_sizes": _CLOSURE + "SELECT size, count(*) AS n_groups FROM (SELECT count(*) AS size FROM found GROUP BY group_face_id) GROUP BY size",
+}

@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pilegrain.llm.encode import token_count, token_ids
+from pilegrain.session import spread
 from pilegrain.sources.tables import table
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", token_ids(F.col("text")).alias("ids"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", token_ids(F.col("text")).alias("ids"))
 
 
 def p8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens per document and characters per token."""
-    counted = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("chars"), token_count(F.col("text")).alias("tokens"))
+    counted = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.length("text").alias("chars"), token_count(F.col("text")).alias("tokens"))
     return counted.withColumn("chars_per_token", F.when(F.col("tokens") > 0, F.col("chars") / F.col("tokens")))
 
 

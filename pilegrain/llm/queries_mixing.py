@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from pilegrain.llm.encode import token_count
 from pilegrain.llm.mixing import folded, mixed, quotas, report, source_tokens
-from pilegrain.session import cut
+from pilegrain.session import cut, spread
 from pilegrain.sources.tables import table
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", folded(F.col("source")).alias("source"), token_count(F.col("text")).alias("tokens"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", folded(F.col("source")).alias("source"), token_count(F.col("text")).alias("tokens"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,4 +49,17 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_split": p2_split, "p2_report": p2_report}
-ORACLE: dict[str, str] = {}
+_BARE = r"regexp_replace(lower(person_id), '[^\p{L}\p{N}]+', '', 'g')"
+ORACLE = {
+    "p2_found": rf"""
+WITH RECURSIVE gold AS (SELECT * FROM (SELECT face_id, label, person_id, row_number() OVER (PARTITION BY face_id ORDER BY labelled_at DESC NULLS LAST) AS r FROM gold_labels WHERE face_id IS NOT NULL) WHERE r = 1),
+named AS (SELECT face_id, regexp_replace({_BARE}, '(^|\P{{N}})0+(\p{{N}})', '\1\2', 'g') AS person FROM gold WHERE lower(trim(label)) = 'person' AND regexp_replace(person_id, '\s+', '', 'g') <> ''),
+kept AS (SELECT DISTINCT id, duplicate_of FROM photos WHERE duplicate_of IS NOT NULL),
+shown AS (SELECT DISTINCT f.id AS face_id, coalesce(k.duplicate_of, f.photo_id) AS photo FROM faces f LEFT JOIN kept k ON k.id = f.photo_id WHERE f.photo_id IS NOT NULL),
+ties AS (SELECT face_id, 'person:' || person AS entity FROM named UNION SELECT face_id, 'photo:' || photo FROM named JOIN shown USING (face_id)),
+least AS (SELECT entity, min(face_id) AS hub FROM ties GROUP BY entity),
+star AS (SELECT t.face_id AS a, l.hub AS b FROM ties t JOIN least l USING (entity) WHERE t.face_id <> l.hub),
+links AS (SELECT a, b FROM star UNION SELECT b, a FROM star),
+reach(v, u) AS (SELECT face_id, face_id FROM named UNION SELECT l.b, r.u FROM reach r JOIN links l ON l.a = r.v WHERE r.u < l.b)
+SELECT v AS face_id, min(u) AS bundle_face_id FROM reach GROUP BY v"""
+}
