@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pilegrain.plans import graphs, instants, library, reviews, samples, scores
+from pilegrain.plans import graphs, instants, library, reviews, samples, scores, tuning
 
-_MODULES = (library, scores, samples, graphs, reviews)
+_MODULES = (library, scores, samples, graphs, reviews, tuning)
 QUERIES = {"p4_found": instants.p4_found} | {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}

@@ -25,9 +25,13 @@ def by_components(vectors: DataFrame, graph: DataFrame, **_) -> DataFrame:
     return vectors.select("id").join(groups, "id", "left").select("id", F.coalesce("label", F.lit(-1).cast("long")).alias("label"))
 
 
-def _per_component(vectors: DataFrame, graph: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+def _per_component(vectors: DataFrame, graph: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], limit: int = 20 * ONE_TASK) -> DataFrame:
+    """run on the edges of each component in a task of its own; a component of more edges than limit is refused, never cut."""
     groups = components(graph, "src", "dst", "id", "comp")
     rows = graph.join(groups.withColumnRenamed("id", "src"), "src")
+    most = rows.groupBy("comp").count().agg(F.max("count")).first()[0] or 0
+    if most > limit:
+        raise ValueError(f"a component of {most} edges does not fit one task; raise the threshold or use components")
     labels = rows.groupBy("comp").applyInPandas(run, "id long, label long")
     return vectors.select("id").join(labels, "id", "left").select("id", F.coalesce("label", F.lit(-1).cast("long")).alias("label"))
 
