@@ -10,7 +10,7 @@ from pilegrain.operators.components import components
 from pilegrain.operators.ranking import global_rank
 from pilegrain.operators.sampling import SEED, random_order
 from pilegrain.operators.scalars import with_scalars
-from pilegrain.plans.graphs import CUTS, DIM, _vectors
+from pilegrain.plans.graphs import _SWEEP, CUTS, DIM, _vectors
 from pilegrain.plans.scores import micro
 from pilegrain.session import cut
 from pilegrain.sources import views
@@ -101,8 +101,7 @@ def random_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def biggest_pile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest pile at each cut and how many labels stand in it."""
-    v, graph = _vectors(spark, sf_dir), None
-    graph = cut(vectors.edges(v, min(CUTS)))
+    graph = cut(vectors.edges(_vectors(spark, sf_dir), min(CUTS)))
     known = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vertex"), "label")
     rows = None
     for t in CUTS:
@@ -154,6 +153,7 @@ ORACLE = {
     "topup_candidates": f"WITH {_V}, {_PEOPLE} SELECT person, id, place, {_MI('sim')} AS sim FROM (SELECT p.id AS person, v.id, list_dot_product(p.v, v.v) AS sim, row_number() OVER (PARTITION BY p.id ORDER BY list_dot_product(p.v, v.v) DESC, v.id) AS place FROM people p, v WHERE v.id % 2 = 1 AND list_dot_product(p.v, v.v) >= 0.1) WHERE place <= 10",
     "merge_tuning": f"WITH {_V}, {_PEOPLE}, t(cut) AS (VALUES {', '.join(f'({c}::DOUBLE)' for c in MERGE_CUTS)}) SELECT cut, count(*) AS suggested, count(*) FILTER (WHERE p.id = truth) AS hits, {_MI('count(*) FILTER (WHERE p.id = truth) / count(*)')} AS precision, {_MI('count(*) FILTER (WHERE p.id = truth) / (SELECT count(*) FROM v)')} AS recall FROM people p, v, t WHERE list_dot_product(p.v, v.v) >= cut GROUP BY cut",
     "random_pairs": f"WITH {_V}, m AS (SELECT max(id) AS m FROM v), s AS (SELECT {_MI('list_dot_product(a.v, b.v)')} AS sim FROM v a, m JOIN v b ON b.id = (a.id * 7919 + 104729) % (m + 1) WHERE a.id <> b.id) SELECT count(*) AS pairs, CAST(sum(sim) AS BIGINT) AS sum, CAST(trunc(quantile_cont(sim, 0.95)) AS BIGINT) AS p95 FROM s",
+    "biggest_pile": _SWEEP + "SELECT least, component, faces, people FROM (SELECT least, c AS component, count(*) AS faces, count(DISTINCT label) AS people, row_number() OVER (PARTITION BY least ORDER BY count(*) DESC, c) AS r FROM comp JOIN embeddings ON vec_id = comp.v GROUP BY least, c) WHERE r = 1",
     "preflight_checks": sql_with("cur_gold", more=f"e AS (SELECT count(DISTINCT model) AS models, count(*) FILTER (WHERE NOT coalesce({_GOOD}, false)) AS dead, count(*) AS n FROM face_embeddings WHERE model IS NOT NULL), g AS (SELECT count(DISTINCT CASE WHEN label = 'person' THEN person_id END) AS people, count(*) FILTER (WHERE label = 'person' AND person_id IS NULL) AS unnamed, count(*) FILTER (WHERE face_id NOT IN (SELECT id FROM faces WHERE id IS NOT NULL)) AS orphans FROM cur_gold)") + "SELECT 'one model' AS check, models = 1 AS good, models AS figure FROM e UNION ALL SELECT 'few dead vectors', dead * 20 <= n, dead FROM e UNION ALL SELECT 'enough people', people >= 25, people FROM g UNION ALL SELECT 'all people named', unnamed = 0, unnamed FROM g UNION ALL SELECT 'labels have faces', orphans = 0, orphans FROM g",
     "refused_merges": sql_with("log", "cur_pool", more=_NOW) + "SELECT person_id, pile_id, count(*) AS faces FROM members JOIN now USING (face_id) WHERE kind = 'person' AND person_id IS NOT NULL AND pile_id IN (SELECT pile_id FROM members LEFT JOIN now USING (face_id) WHERE kind IS NULL OR kind = 'unassigned') AND pile_id NOT IN (SELECT pile_id FROM members JOIN now USING (face_id) WHERE kind = 'junk') GROUP BY ALL",
 }
