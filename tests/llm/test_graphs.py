@@ -109,6 +109,46 @@ def test_piles_of_nothing(spark):
     assert piles(quantised(empty, "face_id", "t", "v", 256), 256).collect() == []
 
 
+def planted(spark, x):
+    rows = [(i, 1, [float(y) for y in v]) for i, v in enumerate(x)]
+    return quantised(spark.createDataFrame(rows, "face_id long, t int, v array<float>").selectExpr("face_id", "timestamp_seconds(t) AS t", "v"), "face_id", "t", "v", 256)
+
+
+@pytest.mark.parametrize("joined", ["chain", "hub"])
+def test_a_component_of_more_parts_than_a_block_is_closed_exactly(spark, monkeypatch, joined):
+    from pilegrain.llm import piles as module
+
+    x, _ = cloud([2] * 60 + [3] * 10, 40, dim=256, noise=0.85)
+    order = np.random.default_rng(3).permutation(len(x))
+    x = x[order]
+    want = divide(np.arange(len(x)), np.ones(len(x), dtype=np.int64), x)
+    chance = [(i, i + 1) if joined == "chain" else (0, i + 1) for i in range(len(x) - 1)]
+    monkeypatch.setattr(module, "BLOCK", 16)
+    monkeypatch.setattr(module, "WIDE", 32)
+    monkeypatch.setattr(module, "links", lambda *_: spark.createDataFrame(chance, "a long, b long"))
+    got = {tuple(sorted(r["members"])) for r in piles(planted(spark, x), 256).collect()}
+    assert got == {tuple(np.flatnonzero(want == p)) for p in set(want) - {-1}}
+
+
+def test_connected_parts_beyond_a_block_join_until_nothing_does(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from pilegrain.llm import piles as module
+
+    r = np.random.default_rng(4)
+    x = np.cumsum(r.standard_normal((60, 256)), axis=0)[20:]  # a walk: each vector is like the next, so all are connected
+    x = np.vstack([x, cloud([5], 0, dim=256)[0]])
+    monkeypatch.setattr(module, "WIDE", 8)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    parts = spark.createDataFrame([(0, i, 1, bytearray(v.astype("<f4").tobytes())) for i, v in enumerate(unit)], "label long, item long, n long, s binary").withColumn("members", F.lit(None).cast("array<long>"))
+    got = sorted(sorted(p["members"]) for p in module._closed(parts, 256, 0.51, False, len(x)).collect())
+    assert [40, 41, 42, 43, 44] in got
+    of = [i for p in got for i in p]
+    assert len(of) == len(set(of))
+    for i in set(range(len(x))) - set(of):  # no face that fits a pile is left
+        assert all(unit[i] @ unit[p].mean(axis=0) < 0.51 for p in got)
+
+
 def test_divide_splits_what_a_bridge_joins():
     x, truth = cloud([30, 20], 5, dim=128)
     bridge = x[:30].sum(axis=0) / 30 + x[30:50].sum(axis=0) / 20
