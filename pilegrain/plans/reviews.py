@@ -217,7 +217,7 @@ def face_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def name_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Person ids of the labels as written that are within two edits of another."""
     written = table(spark, sf_dir, "gold_labels").where("label = 'person'").select("person_id").distinct()
-    return review.near_names(written.where("length(trim(person_id)) > 9"), "person_id", 1)
+    return review.near_names(written, "person_id")
 
 
 def next_person_number(spark: SparkSession, sf_dir: str) -> DataFrame:

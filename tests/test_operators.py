@@ -186,6 +186,16 @@ def test_near_names(spark):
     assert got == {(a, b) for a in clean for b in clean if a < b and distance(a, b) <= 2}
 
 
+def test_near_duplicates_cover_every_id_within_two_edits(spark, tmp_path):
+    from pilegrain.plans.reviews import name_near_duplicates
+
+    names = ["person_15", "Person_1", "person_0015", "person_0915 ", "ann", "anna", "hanna", "bo", None, "  "]
+    rows = [(i, "person", n) for i, n in enumerate(names)] + [(99, "unsure", "ann3")]
+    spark.createDataFrame(rows, "face_id long, label string, person_id string").write.parquet(str(tmp_path / "gold_labels.parquet"))
+    got = {tuple(r) for r in name_near_duplicates(spark, str(tmp_path)).collect()}
+    assert got == {("person_1", "person_15", 1), ("person_0015", "person_15", 2), ("person_0915", "person_15", 2), ("person_0015", "person_0915", 1), ("ann", "anna", 1), ("ann", "hanna", 2), ("anna", "hanna", 1)}
+
+
 def test_two_stage_duplicates(spark):
     long = "x" * 20_000
     rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, long + "y" + long), (5, long + "z" + long), (6, None), (7, "")], "id long, t string")
