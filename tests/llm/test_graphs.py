@@ -171,6 +171,24 @@ def test_leaders_link_each_record_once():
     assert signer.keys(sets).shape == (100, 4)
 
 
+@pytest.mark.parametrize("n", [25_000, 250_000, 1_000_000])
+def test_pairs_at_the_rule_are_candidates(n):
+    from pilegrain.llm import piles as module
+
+    r = np.random.default_rng(8)
+    a = r.standard_normal((400, 256))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = r.standard_normal((400, 256))
+    b -= (b * a).sum(axis=1, keepdims=True) * a
+    b = 0.55 * a + np.sqrt(1 - 0.55**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    signer = Signer(256, *banding(n))
+    ya, fa = signer.features(a.astype(np.float32))
+    yb, fb = signer.features(b.astype(np.float32))
+    share = (signer.keys(fa) == signer.keys(fb)).any(axis=1)
+    apart = np.bitwise_count(signer.sketch(ya) ^ signer.sketch(yb)).sum(axis=1)
+    assert (share & (apart <= int(module.APART * module.SIGNS))).mean() > 0.9
+
+
 def test_banding_grows_slowly():
     small, large = banding(10_000), banding(10_000_000)
     assert small[0] <= large[0] <= small[0] + 4
