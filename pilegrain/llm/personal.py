@@ -11,8 +11,8 @@ tags every text. Addresses and mail addresses are told by their own form; mail h
 their at sign or dots must be hosts seen plainly elsewhere.
 
 Scale: two passes over the texts without a shuffle of texts; the graph is aggregated before it is joined. A
-pattern or word is kept only with a share of all occurrences, so at most MOST_PATTERNS patterns and MOST_WORDS
-words exist and their broadcast has a fixed bound. Every text is read whole.
+pattern or word counts from a few occurrences in a corpus of any size, so a rare name is not lost in a large one; the
+lexicon sent to the tasks grows with the distinct words that recur. Every text is read whole.
 
 Defined results: null, empty and blank texts have no spans; spans are counted in code points and do not overlap (mail
 address, address, number and name win in this order); a repeated document gives its spans once per row.
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from pilegrain.session import cut
 
-MOST_PATTERNS = 200_000
-MOST_WORDS = 1_000_000
+#: Fewest occurrences of a pattern of names, of a word of a name, of a small word, of a number shape or its pattern, of a street or town.
+PATTERN, NAME, SMALL, FIGURE, PLACE = 3, 2, 3, 2, 2
 ROUNDS = 3
 TYPES = ("email", "address", "id_number", "phone", "name")
 
@@ -247,55 +247,50 @@ def _patterns(scored: DataFrame, floor: int, least: float, vague: str = "^$") ->
 def _best(rows: DataFrame, rated: DataFrame) -> DataFrame:
     """rows with best: the score of the best of their three patterns."""
     for i, c in enumerate(("l", "r", "c")):
-        rows = rows.join(F.broadcast(rated.select(F.col("p").alias(c), F.col("score").alias(f"_s{i}"))), c, "left")
+        rows = rows.join(rated.select(F.col("p").alias(c), F.col("score").alias(f"_s{i}")), c, "left")
     return rows.withColumn("best", F.greatest(*[F.coalesce(f"_s{i}", F.lit(0.0)) for i in range(3)])).drop("_s0", "_s1", "_s2")
 
 
 def learn(texts: DataFrame, text: str) -> dict[str, dict[str, float]]:
-    """given, family: words; shape: number shapes by type; pattern: good patterns by type; host: mail hosts. Each bounded by its share of all occurrences."""
+    """given, family: words; shape: number shapes by type; pattern: good patterns by type; host: mail hosts."""
     held = cut(candidates(texts, text))
     out: dict[str, dict[str, float]] = {}
 
     names = held.where("kind = 'name'")
-    total = names.agg(F.sum("n")).first()[0] or 0
-    floor_p, floor_w = max(3, total * 3 // MOST_PATTERNS), max(2, total * 2 // MOST_WORDS)
     seeds = names.where("seed = 'name'")
-    words = seeds.select(F.explode(F.array(F.concat(F.lit("g "), "a"), F.concat(F.lit("f "), "b"))).alias("w")).groupBy("w").agg(F.count("*").alias("k")).where(F.col("k") >= max(1, floor_w // 2)).select("w", F.lit(1.0).alias("score"))
+    words = seeds.select(F.explode(F.array(F.concat(F.lit("g "), "a"), F.concat(F.lit("f "), "b"))).alias("w")).groupBy("w").agg(F.count("*").alias("k")).select("w", F.lit(1.0).alias("score"))
     for _ in range(ROUNDS):
         words = cut(words)
-        known = names.join(F.broadcast(words.select(F.col("w").alias("_g"), F.col("score").alias("sa"))), F.concat(F.lit("g "), "a") == F.col("_g"), "left")
-        known = known.join(F.broadcast(words.select(F.col("w").alias("_f"), F.col("score").alias("sb"))), F.concat(F.lit("f "), "b") == F.col("_f"), "left")
+        known = names.join(words.select(F.col("w").alias("_g"), F.col("score").alias("sa")), F.concat(F.lit("g "), "a") == F.col("_g"), "left")
+        known = known.join(words.select(F.col("w").alias("_f"), F.col("score").alias("sb")), F.concat(F.lit("f "), "b") == F.col("_f"), "left")
         sides = F.col("sa").isNotNull().cast("int") + F.col("sb").isNotNull().cast("int")
         scored = known.withColumn("w", sides / 2.0)
-        rated = cut(_patterns(scored.where("seed = ''"), floor_p, 0.4, _BARE))
+        rated = cut(_patterns(scored.where("seed = ''"), PATTERN, 0.4, _BARE))
         told = _best(names, rated).withColumn("best", F.when(F.col("seed") == "name", 1.0).otherwise(F.when(F.col("best") >= 0.5, F.col("best")).otherwise(0.0)))
         each = told.select(F.explode(F.array(F.concat(F.lit("g "), "a"), F.concat(F.lit("f "), "b"))).alias("w"), "n", "best")
-        every = each.groupBy("w").agg((F.sum(F.col("n") * F.col("best")) / F.sum("n")).alias("score"), F.sum("n").alias("m")).where(F.col("m") >= floor_w)
+        every = each.groupBy("w").agg((F.sum(F.col("n") * F.col("best")) / F.sum("n")).alias("score"), F.sum("n").alias("m")).where(F.col("m") >= NAME)
         words = every.where("score >= 0.4").select("w", "score")
     every = cut(every)
     taught = every.where("score >= 0.4").select("w")
     # Scripts without capitals: a pair between the words that enclose known names is a name.
-    firm = _patterns(scored, floor_p, 0.05).where(F.col("p").rlike(r"^B [^.^$!?,|]+ _ [^.^$!?,|]+$"))
+    firm = _patterns(scored, PATTERN, 0.05).where(F.col("p").rlike(r"^B [^.^$!?,|]+ _ [^.^$!?,|]+$"))
     uncased = _best(names.where(F.col("a").rlike(_UNCASED) & F.col("b").rlike(_UNCASED)), firm)
     for role, c in (("g ", "a"), ("f ", "b")):
-        taught = taught.union(uncased.groupBy(c).agg((F.sum(F.when(F.col("best") > 0, F.col("n")).otherwise(0)) / F.sum("n")).alias("s"), F.sum("n").alias("m")).where((F.col("m") >= floor_w) & (F.col("s") >= 0.3)).select(F.concat(F.lit(role), c).alias("w")))
-    seeded = seeds.where(F.col("a").rlike(r"^\p{IsHan}")).select(F.explode(F.array(F.concat(F.lit("g "), "a"), F.concat(F.lit("f "), "b"))).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("m")).where(F.col("m") >= floor_w // 2).select("w")
-    rows = [(r["w"], 1.0) for r in taught.union(seeded).distinct().limit(MOST_WORDS).toLocalIterator()]
+        taught = taught.union(uncased.groupBy(c).agg((F.sum(F.when(F.col("best") > 0, F.col("n")).otherwise(0)) / F.sum("n")).alias("s"), F.sum("n").alias("m")).where((F.col("m") >= NAME) & (F.col("s") >= 0.3)).select(F.concat(F.lit(role), c).alias("w")))
+    seeded = seeds.where(F.col("a").rlike(r"^\p{IsHan}")).select(F.explode(F.array(F.concat(F.lit("g "), "a"), F.concat(F.lit("f "), "b"))).alias("w"))
+    rows = [(r["w"], 1.0) for r in taught.union(seeded).distinct().toLocalIterator()]
     out["given"] = {w[2:]: s for w, s in rows if w[0] == "g"}
     out["family"] = {w[2:]: s for w, s in rows if w[0] == "f"}
     small = held.where("kind = 'small'")
-    floor_s = max(3, (small.agg(F.sum("n")).first()[0] or 0) // MOST_WORDS)
     either = every.groupBy(F.expr("substring(w, 3)").alias("a")).agg(F.max("score").alias("score"), F.sum("m").alias("m"))
-    unlike = either.where((F.col("score") < 0.2) & (F.col("m") >= max(3, floor_w))).select("a")
+    unlike = either.where((F.col("score") < 0.2) & (F.col("m") >= SMALL)).select("a")
     capital = every.groupBy(F.expr("substring(w, 3)").alias("a")).agg(F.sum("m").alias("m"))
-    lower = small.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= floor_s).join(capital, "a", "left").where("n > coalesce(m, 0)").select("a")
+    lower = small.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= SMALL).join(capital, "a", "left").where("n > coalesce(m, 0)").select("a")
     common = unlike.union(lower)
-    out["common"] = {r["a"]: 0.0 for r in common.distinct().limit(2 * MOST_WORDS).toLocalIterator()}
-    out["name"] = {r["p"]: r["score"] for r in rated.where("score >= 0.8").limit(MOST_PATTERNS).toLocalIterator()}
+    out["common"] = {r["a"]: 0.0 for r in common.distinct().toLocalIterator()}
+    out["name"] = {r["p"]: r["score"] for r in rated.where("score >= 0.8").toLocalIterator()}
 
     figures = held.where("kind = 'number'")
-    total = figures.agg(F.sum("n")).first()[0] or 0
-    floor = max(2, total * 3 // MOST_PATTERNS)
     for kind in ("phone", "id_number"):
         mine = F.col("seed") == kind
         same = figures.where(F.col("a").startswith(kind[0] + " "))
@@ -303,18 +298,17 @@ def learn(texts: DataFrame, text: str) -> dict[str, dict[str, float]]:
         for _ in range(ROUNDS):
             # Phone numbers have few look-alikes, so every shape counts by its score; id numbers share shapes with rolls and orders, so only a nearly pure shape counts.
             pure = 0.0 if kind == "phone" else 0.6
-            scored = same.join(F.broadcast(shapes), "a", "left").withColumn("w", F.when(mine, 1.0).otherwise(F.when(F.col("score") >= pure, F.col("score")).otherwise(0.0)))
-            rated = cut(_patterns(scored, floor, 0.3, _VAGUE))
+            scored = same.join(shapes, "a", "left").withColumn("w", F.when(mine, 1.0).otherwise(F.when(F.col("score") >= pure, F.col("score")).otherwise(0.0)))
+            rated = cut(_patterns(scored, FIGURE, 0.3, _VAGUE))
             told = _best(same, rated).withColumn("best", F.when(mine, 1.0).otherwise(F.when(F.col("best") >= 0.4, 1.0).otherwise(F.col("best"))))
-            shapes = cut(told.groupBy("a").agg((F.sum(F.col("n") * F.col("best")) / F.sum("n")).alias("score"), F.sum("n").alias("m")).where((F.col("m") >= floor) & (F.col("score") >= 0.01)).select("a", "score"))
-        out["shape " + kind] = {r["a"]: r["score"] for r in shapes.limit(MOST_PATTERNS).toLocalIterator()}
-        out["pattern " + kind] = {r["p"]: r["score"] for r in rated.where("score >= 0.4").limit(MOST_PATTERNS).toLocalIterator()}
-    hosts = held.where("kind = 'host'").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, total // MOST_PATTERNS))
-    out["host"] = {r["a"]: 1.0 for r in hosts.limit(MOST_PATTERNS).toLocalIterator()}
+            shapes = cut(told.groupBy("a").agg((F.sum(F.col("n") * F.col("best")) / F.sum("n")).alias("score"), F.sum("n").alias("m")).where((F.col("m") >= FIGURE) & (F.col("score") >= 0.01)).select("a", "score"))
+        out["shape " + kind] = {r["a"]: r["score"] for r in shapes.toLocalIterator()}
+        out["pattern " + kind] = {r["p"]: r["score"] for r in rated.where("score >= 0.4").toLocalIterator()}
+    hosts = held.where("kind = 'host'").select("a").distinct()
+    out["host"] = {r["a"]: 1.0 for r in hosts.toLocalIterator()}
     for kind in ("street", "town"):
         met = held.where(F.col("kind") == kind)
-        enough = max(2, (met.agg(F.sum("n")).first()[0] or 0) // MOST_PATTERNS)
-        out[kind] = {r["a"]: 1.0 for r in met.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= enough).select("a").limit(MOST_PATTERNS).toLocalIterator()}
+        out[kind] = {r["a"]: 1.0 for r in met.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= PLACE).select("a").toLocalIterator()}
     return out
 
 
@@ -431,6 +425,11 @@ class Tagger:
             """A word never met as anything but a part of a name."""
             return k < n and tokens[k][3] == "w" and len(tokens[k][2]) > 2 and (tokens[k][2][0].isupper() or tokens[k][2].islower()) and tokens[k][2].casefold() not in TITLES and tokens[k][2].casefold() not in PARTICLES and not any(p in common or p in self.family for p in _fold(tokens[k][2]).split("-"))
 
+        def titled(k: int) -> bool:
+            """Two name-like words behind a title, as a seed."""
+            t = k - 2 if k > 1 and tokens[k - 1][2] == "." else k - 1
+            return t >= 0 and tokens[t][2].casefold() in TITLES and "\n" not in text[tokens[t][1] : tokens[k][0]] and k + 1 < n and tokens[k + 1][3] == "w" and close(k, k + 1) and _namelike(tokens[k][2]) and _namelike(_bare(tokens[k + 1][2]))
+
         k = 0
         while k < n:
             start = tokens[k][0]
@@ -455,7 +454,7 @@ class Tagger:
                             hit = after, tokens[after - 1][0] + len(_bare(tokens[after - 1][2]))
                         elif comma and not given(g) and (h := initials(g)) > g:
                             hit = h, tokens[h - 1][1]
-            if hit is None and tokens[k][3] == "w" and self._by_pattern(tokens, k):
+            if hit is None and tokens[k][3] == "w" and (titled(k) or self._by_pattern(tokens, k, strange(k) and strange(k + 1))):
                 hit = k + 2, tokens[k + 1][0] + len(_bare(tokens[k + 1][2]))
             if hit is None:
                 k += 1
@@ -466,12 +465,12 @@ class Tagger:
             for m in self.han.finditer(text):
                 yield m.span()
 
-    def _by_pattern(self, tokens: list[tuple[int, int, str, str]], k: int) -> bool:
-        """Two name-like words, one of them a known name, in a good pattern."""
+    def _by_pattern(self, tokens: list[tuple[int, int, str, str]], k: int, unseen: bool = False) -> bool:
+        """Two name-like words, one of them a known name or both never met as anything else, in a good pattern."""
         if k + 1 >= len(tokens) or tokens[k + 1][3] != "w" or tokens[k + 1][0] - tokens[k][1] != 1:
             return False
         a, b = tokens[k][2], _bare(tokens[k + 1][2])
-        if not (_namelike(a) and _namelike(b)) or not (self._is(a, self.given) or self._is(b, self.family)):
+        if not (_namelike(a) and _namelike(b)) or not (unseen or self._is(a, self.given) or self._is(b, self.family)):
             return False
         return max(self.learnt["name"].get(p, 0.0) for p in _around(tokens, k, k + 1)[:2]) >= 0.8
 

@@ -88,6 +88,17 @@ def test_redaction_keeps_the_rest(spark, texts):
     assert got[0] == "é🙂 Mrs. [NAME] lived here."
 
 
+def test_rare_names_do_not_depend_on_the_size_of_the_corpus(spark, texts, monkeypatch):
+    from pilegrain.llm import personal
+
+    for name in ("MOST_WORDS", "MOST_PATTERNS"):  # bounds that floors once grew with
+        monkeypatch.setattr(personal, name, 100, raising=False)
+    rows = [*texts[0], (2000, "Photo by Quill Zebrat. The print is dark."), (2001, "Photo by Quill Zebrat. The print is dark.")]
+    tagger = Tagger(learn(spark.createDataFrame(rows, "doc_id long, text string"), "text"))
+    for text, name in (("thats quill zebrat i think", "quill zebrat"), ("Then Dr. Ondrel Vixby came.", "Ondrel Vixby"), ("Photo by Ondrel Vixby. The print is dark.", "Ondrel Vixby")):
+        assert (text.index(name), text.index(name) + len(name), "name") in tagger.spans(text)
+
+
 def test_nothing_is_learnt_from_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert spans(empty, "doc_id", "text").collect() == []
