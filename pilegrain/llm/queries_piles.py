@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pilegrain.llm.piles import described, members, piles, quantised
-from pilegrain.session import cut
+from pilegrain.llm.piles import described, piles, quantised
 from pilegrain.sources.tables import table
 
 DIM = 256
@@ -20,13 +19,14 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return members(piles(_vectors(spark, sf_dir), DIM), "face_id", "pile_face_id")
+    members, _ = piles(_vectors(spark, sf_dir), DIM)
+    return members.select(F.col("key").alias("face_id"), F.col("pile").alias("pile_face_id"))
 
 
 def p1_piles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and three most typical faces of every pile."""
     vectors = _vectors(spark, sf_dir)
-    found = described(cut(piles(vectors, DIM, sums=True)), vectors, DIM)
+    found = described(*piles(vectors, DIM), vectors, DIM)
     return found.select(F.col("pile").alias("pile_face_id"), "size", F.concat_ws(",", F.col("typical").cast("array<string>")).alias("typical_faces"))
 
 
