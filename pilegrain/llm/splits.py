@@ -20,11 +20,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pilegrain.llm.settings import few
 from pilegrain.session import cut
 
 SALTS = 64
 BUCKETS = 256
+#: Keys that the records of one label are spread over where they learn what it is hooked to.
+LABEL_SALTS = 8
 LARGE_SHARE = 1000
+MOST_STRATA = 4096
 
 
 def entity_key(written: Column) -> Column:
@@ -47,20 +51,24 @@ def bundles(links: DataFrame, record: str, entity: str, bundle: str = "bundle",
         spread = least.select("e", "l", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("s"))
         told = pairs.join(spread, ["e", "s"]).groupBy("r").agg(F.min("l").alias("new"))
         step = cut(labels.join(told, "r").select("r", "l", "new"))
-        hooked = step.where("new < l").groupBy(F.col("l").alias("r")).agg(F.min("new").alias("hook"))
-        step = step.join(hooked, "r", "left").select("r", "l", F.least("new", "hook").alias("new"))
-        jumped = step.join(step.select(F.col("r").alias("new"), F.col("new").alias("far")), "new", "left").select("r", "l", F.least("new", "far").alias("new"))
-        step = cut(jumped)
-        labels = step.select("r", F.col("new").alias("l"))
-        if step.where("new <> l").isEmpty():
-            return labels.select(F.col("r").alias(record), F.col("l").alias(bundle))
+        changed = step.where("new < l")
+        if changed.isEmpty():
+            return step.select(F.col("r").alias(record), F.col("l").alias(bundle))
+        # Labels that learnt of a smaller one are hooked to it; what they are hooked to is followed one step. Only hooks are joined on, few of them, and large ones are salted.
+        hooks = cut(changed.groupBy(F.col("l").alias("of")).agg(F.min("new").alias("to")))
+        far = hooks.join(hooks.select(F.col("of").alias("to"), F.col("to").alias("far")), "to", "left").select("of", F.coalesce("far", "to").alias("to"))
+        sure = far.select("of", "to", F.explode(F.sequence(F.lit(0), F.lit(LABEL_SALTS - 1))).alias("s"))
+        salted = step.withColumn("s", F.pmod(F.xxhash64("r"), F.lit(LABEL_SALTS)).cast("int"))
+        moved = salted.join(sure.withColumnRenamed("of", "l"), ["l", "s"], "left").select("r", F.least("new", F.coalesce("to", "new")).alias("l"))
+        labels = cut(moved)
     raise RuntimeError(f"labels did not settle in {most_rounds} rounds")
 
 
 def assign(records: DataFrame, bundle: str, stratum: str, targets: dict[str, float], seed: int = 7) -> DataFrame:
     """records with a column split: bundles stay whole and every split's mix of strata follows the whole.
 
-    A null stratum is a stratum of its own. Strata beyond the 64 most frequent are taken as one.
+    A null stratum is a stratum of its own; more than MOST_STRATA of them are an error. Bundles too small to be placed one by
+    one are placed by hash buckets, fewer per stratum where there are many.
     """
     spark = records.sparkSession
     names = sorted(targets)
@@ -68,16 +76,14 @@ def assign(records: DataFrame, bundle: str, stratum: str, targets: dict[str, flo
     if not total or not names:
         return records.withColumn("split", F.lit(names[0] if names else None).cast("string"))
     label = F.coalesce(F.col(stratum).cast("string"), F.lit("(none)"))
-    counts = records.groupBy(label.alias("k")).count().orderBy(F.desc("count"), "k").limit(64).collect()
-    strata = {r["k"]: r["count"] for r in counts}
-    strata["(rest)"] = total - sum(strata.values())
-    kept = F.when(label.isin(*[r["k"] for r in counts]), label).otherwise(F.lit("(rest)"))
-    cells = records.groupBy(F.col(bundle).alias("b"), kept.alias("k")).count()
+    strata = {r["k"]: r["count"] for r in few(records.groupBy(label.alias("k")).count(), MOST_STRATA)}
+    buckets = max(1, BUCKETS * 64 // max(64, len(strata)))
+    cells = records.groupBy(F.col(bundle).alias("b"), label.alias("k")).count()
     sizes = cells.groupBy("b").agg(F.sum("count").alias("n"), F.max(F.struct("count", "k"))["k"].alias("lead"))
     bar = max(2, total // LARGE_SHARE)
-    unit = F.when(F.col("n") >= bar, F.concat(F.lit("b"), F.col("b").cast("string"))).otherwise(F.concat(F.lit("h"), F.pmod(F.xxhash64("b", F.lit(seed)), F.lit(BUCKETS)).cast("string"), F.lit("/"), F.col("lead")))
+    unit = F.when(F.col("n") >= bar, F.concat(F.lit("b"), F.col("b").cast("string"))).otherwise(F.concat(F.lit("h"), F.pmod(F.xxhash64("b", F.lit(seed)), F.lit(buckets)).cast("string"), F.lit("/"), F.col("lead")))
     units = cut(sizes.select("b", unit.alias("unit")))
-    rows = cells.join(units, "b").groupBy("unit", "k").agg(F.sum("count").alias("n")).collect()  # at most 1000 large units and 256 buckets per stratum
+    rows = cells.join(units, "b").groupBy("unit", "k").agg(F.sum("count").alias("n")).collect()  # at most 1000 large units, and BUCKETS * 64 buckets or one per stratum
     held: dict[str, dict[str, int]] = {}
     for r in rows:
         held.setdefault(r["unit"], {})[r["k"]] = r["n"]
