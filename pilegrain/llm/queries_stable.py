@@ -21,13 +21,13 @@ def p6_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p6_sample": p6_sample, "p6_growth": p6_growth}
+#: The list after a load ends at the place of the target-th key in the order of the hash; no buckets are counted here.
 _SAMPLE = """
 WITH ks AS (SELECT face_id AS k, coalesce(min(load_batch), 1) AS l FROM candidates WHERE face_id IS NOT NULL GROUP BY face_id),
-placed AS (SELECT sample_run, target_size, k, l, CAST(('0x' || substr(md5(concat_ws(':', random_seed::VARCHAR, k::VARCHAR)), 1, 3)) AS INTEGER) AS bucket FROM ks, sample_config),
+placed AS (SELECT sample_run, target_size, k, l, CAST(('0x' || substr(md5(concat_ws(':', random_seed::VARCHAR, k::VARCHAR)), 1, 9)) AS BIGINT) AS bucket FROM ks, sample_config WHERE target_size > 0),
 loads AS (SELECT DISTINCT l AS at_load FROM ks),
-upto AS (SELECT sample_run, target_size, at_load, bucket, count(*) AS n FROM placed JOIN loads ON l <= at_load GROUP BY ALL),
-run_sum AS (SELECT *, sum(n) OVER (PARTITION BY sample_run, at_load ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS s FROM upto),
-need AS (SELECT sample_run, at_load, coalesce(min(bucket) FILTER (WHERE s >= target_size), 4096) AS need FROM run_sum GROUP BY ALL),
+ranked AS (SELECT sample_run, target_size, at_load, bucket, row_number() OVER (PARTITION BY sample_run, at_load ORDER BY bucket) AS place FROM placed JOIN loads ON l <= at_load),
+need AS (SELECT sample_run, at_load, coalesce(min(bucket) FILTER (WHERE place = target_size), 68719476736) AS need FROM ranked GROUP BY ALL),
 listed AS (SELECT sample_run, at_load, max(need) OVER (PARTITION BY sample_run ORDER BY at_load) AS last FROM need),
 picked AS (SELECT p.sample_run, p.k AS face_id, p.bucket, p.l AS load_batch, min(d.at_load) AS picked_at FROM placed p JOIN listed d ON p.sample_run = d.sample_run AND p.bucket <= d.last AND p.l <= d.at_load GROUP BY ALL)
 """
