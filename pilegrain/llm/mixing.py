@@ -2,9 +2,10 @@
 
 Method: every source of a mix is a periodic task. Its records fall into blocks of about equal tokens; block i of a
 source with weight w is released at i / w and due at (i + 1) / w, and earliest deadline first
-among released blocks gives each source less than one block of deviation at any point. Weights are
-taken in ten-thousandths, so the schedule repeats: one period is computed once and block i of a
-source stands at (i div n) periods plus the place of its (i mod n)-th turn.
+among released blocks gives each source less than one block of deviation at any point. The schedule repeats: a
+period has n turns of a source, its exact number x of blocks a period rounded up, and is computed once; block i of a source
+takes turn floor(i * n / x), so that turns too many stay empty and any positive weight, however small, keeps
+its exact rate.
 
 A source gives its share of the total or, where that asks for more than its cap of repetitions allows, all it may give;
 a mix is never filled up from other sources. Repetitions are whole passes, then a part of one
@@ -16,18 +17,22 @@ that are broadcast, bounded by the targets.
 
 Defined results: null sources belong to none, sources are compared in lower case without outer blanks; empty
 texts have no tokens and are never drawn; a source without tokens, a null share or cap gives nothing; an empty
-table gives an empty mix.
+table gives an empty mix; more than MOST_TARGETS targets are an error.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pilegrain.llm.settings import few
+
 BUCKETS = 4096
 PERIOD = 10_000
+MOST_TARGETS = 10_000
 
 
 def folded(source: Column) -> Column:
@@ -44,48 +49,52 @@ def quotas(targets: DataFrame, per_source: DataFrame) -> DataFrame:
     asked = F.col("target_share") * F.col("total_tokens")
     most = F.coalesce("max_repeats", F.lit(0)).cast("long") * F.coalesce("source_tokens", F.lit(0))
     rows = targets.withColumn("source", folded(F.col("source"))).join(per_source, "source", "left")
-    return rows.withColumn("asked", F.coalesce(asked, F.lit(0.0))).withColumn("most", most).withColumn("given", F.least(F.round("asked").cast("long"), F.col("most")))
+    return rows.withColumn("asked", F.coalesce(asked, F.lit(0.0))).withColumn("most", most).withColumn("given", F.least(F.ceil("asked").cast("long"), F.col("most")))
 
 
-def turns(weights: dict[str, float], period: int = PERIOD) -> dict[str, list[int]]:
-    """Places in one period of each source's turns, by earliest deadline first among released turns."""
-    total = sum(weights.values())
-    if total <= 0:
-        return {}
+def turns(weights: dict[str, float], period: int = PERIOD) -> tuple[int, dict[str, tuple[list[int], float]]]:
+    """(slots of a period, per source the places of its turns in it and how many turns a block takes), by earliest deadline first among released turns."""
+    total = sum(w for w in weights.values() if w > 0)
     exact = {s: w / total * period for s, w in weights.items() if w > 0}
-    n = {s: int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (n[s] - exact[s], s))[: period - sum(n.values())]:
-        n[s] += 1
-    release = sorted((i * period // k, -(-(i + 1) * period // k), s) for s, k in n.items() for i in range(k))
+    n = {s: max(1, math.ceil(x - 1e-9)) for s, x in exact.items()}
+    slots = sum(n.values())
+    release = sorted((i * slots // k, -(-(i + 1) * slots // k), s) for s, k in n.items() for i in range(k))
     places: dict[str, list[int]] = {s: [] for s in n}
     ready: list[tuple[int, str]] = []
     at = 0
-    for slot in range(period):
+    for slot in range(slots):
         while at < len(release) and release[at][0] <= slot:
             heapq.heappush(ready, release[at][1:])
             at += 1
         if ready:
             places[heapq.heappop(ready)[1]].append(slot)
-    return places
+    while ready or at < len(release):  # rounding of releases may leave a turn for after the last slot
+        if not ready:
+            heapq.heappush(ready, release[at][1:])
+            at += 1
+        places[heapq.heappop(ready)[1]].append(slots)
+        slots += 1
+    return slots, {s: (p, max(1.0, n[s] / exact[s])) for s, p in places.items()}
 
 
 def mixed(sized: DataFrame, targets: DataFrame, key: str, block_tokens: int = 2048, seed: int = 11) -> DataFrame:
     """(mix_name, source, key, pass, tokens, block, position): the records of each mix and the slot of their block.
 
-    sized: key, folded source, tokens. targets is a table of settings (at most 10,000 rows are read).
+    sized: key, folded source, tokens. targets is a table of settings.
     """
     spark = sized.sparkSession
     sized = sized.where("source IS NOT NULL AND tokens > 0")
-    goal = quotas(targets, source_tokens(sized)).where("given > 0 AND mix_name IS NOT NULL").limit(10_000).collect()
+    goal = quotas(targets, source_tokens(sized)).where("given > 0 AND mix_name IS NOT NULL")
+    goal = few(goal, MOST_TARGETS)
     by_mix: dict[str, dict[str, float]] = {}
     for r in goal:
         by_mix.setdefault(r["mix_name"], {})[r["source"]] = by_mix.get(r["mix_name"], {}).get(r["source"], 0) + r["given"]
     slots = []
     for mix, weights in by_mix.items():
-        for s, places in turns(weights).items():
-            slots.append((mix, s, places))
+        length, held = turns(weights)
+        slots += [(mix, s, places, stride, length) for s, (places, stride) in held.items()]
     plan = F.broadcast(spark.createDataFrame([(r["mix_name"], r["source"], int(r["given"]), int(r["source_tokens"])) for r in goal], "mix_name string, source string, given long, source_tokens long"))
-    period = F.broadcast(spark.createDataFrame(slots, "mix_name string, source string, places array<int>"))
+    period = F.broadcast(spark.createDataFrame(slots, "mix_name string, source string, places array<int>, stride double, slots long"))
 
     h = F.xxhash64(F.col(key), F.lit(seed))
     placed = sized.select(key, "source", "tokens", h.alias("_h"), F.shiftrightunsigned(h, 52).cast("int").alias("_b"))
@@ -97,7 +106,8 @@ def mixed(sized: DataFrame, targets: DataFrame, key: str, block_tokens: int = 20
     passes = joined.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("_passes") - 1)))
     block = F.floor((F.col("pass") * F.col("source_tokens") + F.col("_start")) / F.lit(block_tokens))
     rows = passes.withColumn("block", block).join(period, ["mix_name", "source"])
-    turn = F.expr(f"(block div size(places)) * {PERIOD} + places[CAST(block % size(places) AS INT)]")
+    rows = rows.withColumn("_t", F.floor(F.col("block") * F.col("stride")))
+    turn = F.expr("(_t div size(places)) * slots + places[CAST(_t % size(places) AS INT)]")
     return rows.select("mix_name", "source", key, "pass", "tokens", "block", turn.alias("position"))
 
 
@@ -106,4 +116,4 @@ def report(mix: DataFrame, targets: DataFrame, per_source: DataFrame) -> DataFra
     got = mix.groupBy("mix_name", "source").agg(F.sum("tokens").alias("got"), F.max(F.col("pass") + 1).alias("passes"))
     rows = quotas(targets, per_source).join(got, ["mix_name", "source"], "left").withColumn("got", F.coalesce("got", F.lit(0)))
     total = F.sum("got").over(Window.partitionBy("mix_name"))
-    return rows.select("mix_name", "source", "target_share", "max_repeats", F.coalesce("source_tokens", F.lit(0)).alias("source_tokens"), F.round("asked").cast("long").alias("asked_tokens"), F.col("got").alias("given_tokens"), F.coalesce("passes", F.lit(0)).alias("passes"), (F.col("got") / total).alias("share"), (F.col("got") / F.col("asked")).alias("fill"))
+    return rows.select("mix_name", "source", "target_share", "max_repeats", F.coalesce("source_tokens", F.lit(0)).alias("source_tokens"), F.ceil("asked").cast("long").alias("asked_tokens"), (F.col("asked") > F.col("got")).alias("short"), F.col("got").alias("given_tokens"), F.coalesce("passes", F.lit(0)).alias("passes"), (F.col("got") / total).alias("share"), (F.col("got") / F.col("asked")).alias("fill"))

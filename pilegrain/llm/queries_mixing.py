@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pilegrain.llm.encode import token_count
-from pilegrain.llm.mixing import folded, mixed, quotas, report, source_tokens
+from pilegrain.llm.mixing import folded, mixed, report, source_tokens
 from pilegrain.session import cut, spread
 from pilegrain.sources.tables import table
 
@@ -16,8 +16,8 @@ def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quotas(table(spark, sf_dir, "mix_targets"), source_tokens(_sized(spark, sf_dir)))
-    return rows.where("asked > most").select("mix_name", "source")
+    """Targets for which the schedule, all repetitions used, holds less than was asked for."""
+    return p9_report(spark, sf_dir).where("short").select("mix_name", "source")
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
