@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pilegrain.llm.caps import beyond, day_of, within
-from pilegrain.llm.mixing import PERIOD, mixed, quotas, report, source_tokens, turns
+from pilegrain.llm.mixing import mixed, quotas, report, source_tokens, turns
 from pilegrain.llm.quota import composition, fit, matched_sample, unmet
 from pilegrain.llm.quota import quotas as integer_quotas
 from pilegrain.llm.stable import grown_sample
@@ -21,11 +21,18 @@ def test_sample_is_stable_as_loads_arrive(spark):
     for load in (1, 2, 3):
         part = pick([r for r in rows if (r[1] or 1) <= load], 2)
         assert part <= whole
-    assert sum(r == "a" for r, _ in pick([r for r in rows if r[1] == 1], 2)) >= 50
+    first = pick([r for r in rows if r[1] == 1], 2)
+    assert sum(r == "a" for r, _ in first) == 50 and sum(r == "b" for r, _ in first) == 5
     assert {k for r, k in whole if r == "all"} == set(range(1000)) | {2000}
     assert grown_sample(spark.createDataFrame([], POOL), "k", "load", runs, "run", "target", "seed").collect() == []
 
 
+def test_a_small_sample_of_a_large_pool_meets_its_target(spark):
+    runs = spark.createDataFrame([("few", 100, 1), ("none", 0, 1), (None, 5, 1)], "run string, target long, seed long")
+    pool = spark.range(300_000).selectExpr("id AS k", "1 AS load", "'x' AS extra")
+    assert grown_sample(pool, "k", "load", runs, "run", "target", "seed").count() == 100
+
+
 def test_caps_against_a_greedy_one(spark):
     r = random.Random(2)
     rows = [(i, r.choice([1, 1, 1, 2, 3]), r.choice(["d1", "d2", None]), r.choice([0.1, 0.5, 0.9, None, float("nan")])) for i in range(300)]
@@ -68,6 +75,22 @@ def test_fit_meets_several_marginals():
         assert np.abs(np.bincount(cells[:, d], weights=pick) - goal).max() <= 1
 
 
+def test_fit_of_many_cells_is_quick():
+    import time
+
+    r = np.random.default_rng(6)
+    cells = np.stack([r.integers(0, k, 200_000) for k in (12, 9, 30, 6, 8, 40)], axis=1)
+    counts = r.integers(1, 50, 200_000)
+    size = 300_000
+    goals = [size * (p := np.sort(r.dirichlet(np.full(k, 20.0)))) / p.sum() for k in (12, 9, 30, 6, 8, 40)]
+    t = time.time()
+    pick = fit(cells, counts, goals, size)
+    assert time.time() - t < 20
+    assert pick.sum() == size and (pick <= counts).all() and (pick >= 0).all()
+    for d, goal in enumerate(goals):
+        assert np.abs(np.bincount(cells[:, d], weights=pick) - goal).max() < 20
+
+
 CONFIG = "sample_run string, target_size long, random_seed long"
 TARGETS = "sample_run string, dimension string, category string, target_share double, min_count long"
 
@@ -92,13 +115,35 @@ def test_matched_sample_and_shortfalls(spark):
 
 def test_turns_stay_within_one_block():
     weights = {"a": 0.5, **{f"s{i}": 0.01 for i in range(50)}}
-    places = turns(weights)
-    assert sorted(x for p in places.values() for x in p) == list(range(PERIOD))
-    for s, p in places.items():
-        w = len(p) / PERIOD
+    slots, held = turns(weights)
+    assert sorted(x for p, _ in held.values() for x in p) == list(range(slots))
+    for p, stride in held.values():
+        w = len(p) / slots
+        assert stride >= 1
         for i, at in enumerate(p):
             assert -1 < i - w * at < 1 and -1 < (i + 1) - w * (at + 1) < 1
-    assert turns({}) == {}
+    assert turns({}) == (0, {})
+
+
+def test_any_positive_weight_keeps_its_rate():
+    weights = {"a": 0.7, "b": 0.3 - 2e-5 - 1e-9, "c": 2e-5, "d": 1e-9}
+    slots, held = turns(weights)
+    for s, w in weights.items():
+        places, stride = held[s]
+        at = lambda i, p=places, k=stride: int(i * k) // len(p) * slots + p[int(i * k) % len(p)]
+        blocks = 2000
+        total = sum(len(p) / k for p, k in held.values())  # blocks of a period
+        assert abs(at(blocks) / slots * total * w - blocks) < 2 + blocks * 1e-3
+        assert len({at(i) for i in range(blocks)}) == blocks
+
+
+def test_mix_of_a_tiny_share(spark):
+    docs = [(i, "big", 10) for i in range(3000)] + [(5000 + i, "tiny", 10) for i in range(5)]
+    sized = spark.createDataFrame(docs, "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("m", "big", 0.99998, 1, 30_000), ("m", "tiny", 0.00002, 1, 30_000)], "mix_name string, source string, target_share double, max_repeats int, total_tokens long")
+    told = {r["source"]: r for r in report(mixed(sized, targets, "doc_id", block_tokens=50), targets, source_tokens(sized)).collect()}
+    assert told["tiny"]["given_tokens"] == 10 and told["big"]["given_tokens"] == 30_000
+    assert not told["tiny"]["short"] and not told["big"]["short"]
 
 
 def test_mix_reaches_targets_and_respects_caps(spark):
@@ -114,6 +159,6 @@ def test_mix_reaches_targets_and_respects_caps(spark):
     assert max(uses.values()) == 3 and max(uses[i] for i in uses if i < 5000) == 1
     positions = sorted({(r["source"], r["position"]) for r in mix.collect()}, key=lambda x: x[1])
     assert len({p for _, p in positions}) == len(positions)
-    short = {r["source"] for r in quotas(targets, source_tokens(sized)).where("asked > most").collect()}
-    assert short == {"none"}
+    assert {r["source"] for r in quotas(targets, source_tokens(sized)).where("asked > most").collect()} == {"none"}
+    assert {s for s, r in told.items() if r["short"]} == {"none"}
     assert mixed(sized.limit(0), targets, "doc_id").collect() == []
