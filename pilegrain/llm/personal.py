@@ -38,9 +38,9 @@ ROUNDS = 3
 TYPES = ("email", "address", "id_number", "phone", "name")
 
 # Words that mark what follows or precedes.
-TITLES = "mr mrs ms miss dr prof sir frau herr sr sra srta don doña mme mlle monsieur madame signor signora श्री श्रीमती".split()
+TITLES = frozenset("mr mrs ms miss dr prof sir frau herr sr sra srta don doña mme mlle monsieur madame signor signora श्री श्रीमती".split())
 HONORIFICS = "さん 様 氏".split()
-PARTICLES = "de la del du von van der den da di le".split()
+PARTICLES = frozenset("de la del du von van der den da di le".split())
 LABELS = (
     r"ssn|social security(?: number| no\.?)?|my social is|passport(?: (?:number|nr|no)\.?)?|(?:driv(?:ing|er'?s)) licen[cs]e(?: no\.?| number)?|licen[cs]e (?:no\.?|number)|dl ?#|nino|ni (?:number|no\.?)|national insurance(?: number)?|"
     r"nir|n° sécu|numéro de sécurité sociale|sécurité sociale|dni|nif|nie|steuer-?id|steuernummer|idnr\.?|steuer-identifikationsnummer|personalausweis(?:nummer)?|マイナンバー|個人番号|आधार(?: संख्या| नंबर)?|aadhaar(?: number)?|पैन"
@@ -64,10 +64,17 @@ def _plain() -> dict[int, str]:
     return table | {0x2010: "-", 0x2011: "-", 0x2012: "-", 0x2013: "-", 0x2212: "-", 0x00A0: " ", 0x202F: " ", 0x3000: " "}
 
 
+def plain_of(text: str) -> str:
+    """The text with ASCII digits and signs, of the same length."""
+    return text if text.isascii() else text.translate(_plain())
+
+
 _LOCAL = r"[A-Za-z0-9À-ɏ](?:[A-Za-z0-9À-ɏ._%+\-]*[A-Za-z0-9À-ɏ_+\-])?"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
 MAIL = re.compile(rf"(?<![A-Za-zÀ-ɏ0-9_@.+])({_LOCAL})@({_LABEL}(?:\.{_LABEL})+)(?![A-Za-zÀ-ɏ0-9_@])")
 AROUND = re.compile(rf"(?<![A-Za-zÀ-ɏ0-9_@.+])({_LOCAL})(?: ?@ ?| ?[\[({{] ?at ?[\])}}] ?| at )({_LABEL}(?:(?:\.| ?[\[({{] ?dot ?[\])}}] ?| dot ){_LABEL})+)(?![A-Za-zÀ-ɏ0-9_@])", re.I)
+#: What a text must hold for AROUND to be worth trying: an at sign or word, and a dot within a word or the word for one.
+_AT, _DOTTED = re.compile(r"@|(?<![a-z0-9])at(?![a-z0-9])", re.I), re.compile(r"[a-z0-9]\.[a-z0-9]|dot", re.I)
 _DOT = re.compile(r" ?[\[({] ?dot ?[\])}] ?| dot ", re.I)
 
 #: Number-like candidates. Their shape, not their form here, decides what they are.
@@ -111,8 +118,8 @@ STREET = re.compile(rf"\d{{1,4}}[a-z]? (?P<street>(?:St\. )?(?:{_CAP} ){{1,3}}{_
 
 
 def _fold(word: str) -> str:
-    word = word.casefold().replace("’", "'")
-    return "9" * len(word) if word.isdecimal() else word
+    word = word.casefold()
+    return "9" * len(word) if word.isdecimal() else word.replace("’", "'") if "’" in word else word
 
 
 def _around(tokens: list[tuple[int, int, str, str]], i: int, j: int) -> tuple[str, str, str]:
@@ -209,7 +216,7 @@ def candidates(texts: DataFrame, text: str) -> DataFrame:
                         for b in family:
                             k = ("name", a, b, left, right, both, "name" if seed else "")
                             seen[k] = seen.get(k, 0) + 1
-                plain = t.translate(_plain())
+                plain = plain_of(t)
                 for _, _, shape, (left, right, both), seed in numbers(plain):
                     k = ("number", shape, "", left, right, both, seed)
                     seen[k] = seen.get(k, 0) + 1
@@ -321,13 +328,15 @@ _DIGIT = re.compile(r"\d")
 class Tagger:
     def __init__(self, learnt: dict[str, dict[str, float]]) -> None:
         self.given, self.family, self.learnt = learnt["given"], learnt["family"], learnt
+        self._numbers: tuple[str | None, list] = None, []
+        self._held: dict[str, tuple[bool, bool]] = {}
         han = [(w, k) for k in ("given", "family") for w in learnt[k] if re.fullmatch(rf"{_HAN}+", w)]
         groups = ["|".join(sorted((re.escape(w) for w, k in han if k == kind), key=lambda w: (-len(w), w))) for kind in ("family", "given")]
         enclosed = rf"(?<=は)(?:{_HAN}{{1,5}}(?:{groups[1]})|(?:{groups[0]}){_HAN}{{1,4}})(?=(?:{'|'.join(HONORIFICS)}))"
         self.han = re.compile(rf"{enclosed}|(?:{groups[0]})[ 　]?(?:{groups[1]})") if all(groups) else None
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
-        plain = text.translate(_plain())
+        plain = plain_of(text)
         found: list[tuple[int, int, str]] = []
         taken: list[tuple[int, int]] = []
 
@@ -347,7 +356,7 @@ class Tagger:
             if m.group(2).rsplit(".", 1)[-1].casefold() not in NOT_HOSTS:
                 ends = m.end()
                 yield m.span()
-        for m in AROUND.finditer(plain):
+        for m in AROUND.finditer(plain) if _AT.search(plain) and _DOTTED.search(plain) else ():
             host = _DOT.sub(".", m.group(2)).casefold()
             while host and host not in self.learnt["host"]:
                 host = host.rpartition(".")[0]
@@ -375,7 +384,9 @@ class Tagger:
     def _number(self, plain: str, kind: str) -> Iterator[tuple[int, int]]:
         shapes, patterns = self.learnt["shape " + kind], self.learnt["pattern " + kind]
         sure = 0.3 if kind == "phone" else 0.6  # phone shapes have few look-alikes
-        for i, j, shape, around, seed in numbers(plain):
+        if self._numbers[0] is not plain:
+            self._numbers = plain, list(numbers(plain))
+        for i, j, shape, around, seed in self._numbers[1]:
             if shape[0] == kind[0] and (seed == kind or shapes.get(shape, 0.0) >= sure or shape in shapes and max(patterns.get(p, 0.0) for p in around) >= 0.4):
                 yield i, j
 
@@ -385,12 +396,24 @@ class Tagger:
     def phone(self, text: str, plain: str) -> Iterator[tuple[int, int]]:
         return self._number(plain, "phone")
 
+    def _told(self, word: str) -> tuple[bool, bool]:
+        """Whether a word is a given name, and whether it was never met as anything but a part of a name; words of the last texts are kept."""
+        held = self._held.get(word)
+        if held is None:
+            if len(self._held) > 200_000:
+                self._held.clear()
+            low, common = word.casefold(), self.learnt["common"]
+            new = len(word) > 2 and (word[0].isupper() or word.islower()) and low not in TITLES and low not in PARTICLES and not any(p in common or p in self.family for p in _fold(word).split("-"))
+            held = self._held[word] = len(word) > 1 and self._is(_bare(word), self.given), new
+        return held
+
     def _is(self, word: str, held: dict[str, float]) -> bool:
-        return all(p in held for p in _fold(word).replace("‐", "-").split("-"))
+        low = _fold(word)
+        return low in held or ("-" in low or "‐" in low) and all(p in held for p in low.replace("‐", "-").split("-"))
 
     def name(self, text: str, plain: str) -> Iterator[tuple[int, int]]:
         tokens = tokens_of(text)
-        n, common = len(tokens), self.learnt["common"]
+        n = len(tokens)
 
         def close(a: int, b: int) -> bool:
             gap = text[tokens[a][1] : tokens[b][0]]
@@ -404,31 +427,30 @@ class Tagger:
         def family(k: int) -> tuple[int, int] | None:
             """(next token, end) of a family name at token k."""
             m, prefix = k, ""
-            while m < n and m - k < 3 and tokens[m][2].casefold() in PARTICLES and m + 1 < n and close(m, m + 1):
+            while m < n and m - k < 3 and len(tokens[m][2]) < 4 and tokens[m][2].casefold() in PARTICLES and m + 1 < n and close(m, m + 1):
                 prefix += tokens[m][2].casefold() + " "
                 m += 1
             if m < n and tokens[m][3] == "w":
                 word = tokens[m][2]
-                for w in (word, _bare(word)):
+                for w in (word, _bare(word)) if word[-1:] == "s" else (word,):
                     if self._is(prefix + w, self.family):
                         return m + 1, tokens[m][0] + len(w)
             return None
 
         def given(k: int) -> bool:
-            return k < n and tokens[k][3] == "w" and len(tokens[k][2]) > 1 and self._is(_bare(tokens[k][2]), self.given)
+            return k < n and tokens[k][3] == "w" and len(tokens[k][2]) > 1 and self._told(tokens[k][2])[0]
 
         def alike(a: int, b: int) -> bool:
             """Both words in capitals or both in small letters."""
             return tokens[a][2][0].isupper() and tokens[b - 1][2][0].isupper() or tokens[a][2].islower() and tokens[b - 1][2].islower()
 
         def strange(k: int) -> bool:
-            """A word never met as anything but a part of a name."""
-            return k < n and tokens[k][3] == "w" and len(tokens[k][2]) > 2 and (tokens[k][2][0].isupper() or tokens[k][2].islower()) and tokens[k][2].casefold() not in TITLES and tokens[k][2].casefold() not in PARTICLES and not any(p in common or p in self.family for p in _fold(tokens[k][2]).split("-"))
+            return k < n and tokens[k][3] == "w" and self._told(tokens[k][2])[1]
 
         def titled(k: int) -> bool:
             """Two name-like words behind a title, as a seed."""
             t = k - 2 if k > 1 and tokens[k - 1][2] == "." else k - 1
-            return t >= 0 and tokens[t][2].casefold() in TITLES and "\n" not in text[tokens[t][1] : tokens[k][0]] and k + 1 < n and tokens[k + 1][3] == "w" and close(k, k + 1) and _namelike(tokens[k][2]) and _namelike(_bare(tokens[k + 1][2]))
+            return t >= 0 and tokens[k][2][0].isalpha() and tokens[t][2].casefold() in TITLES and "\n" not in text[tokens[t][1] : tokens[k][0]] and k + 1 < n and tokens[k + 1][3] == "w" and close(k, k + 1) and _namelike(tokens[k][2]) and _namelike(_bare(tokens[k + 1][2]))
 
         k = 0
         while k < n:
@@ -454,7 +476,7 @@ class Tagger:
                             hit = after, tokens[after - 1][0] + len(_bare(tokens[after - 1][2]))
                         elif comma and not given(g) and (h := initials(g)) > g:
                             hit = h, tokens[h - 1][1]
-            if hit is None and tokens[k][3] == "w" and (titled(k) or self._by_pattern(tokens, k, strange(k) and strange(k + 1))):
+            if hit is None and tokens[k][3] == "w" and (titled(k) or _namelike(tokens[k][2]) and self._by_pattern(tokens, k, strange(k) and strange(k + 1))):
                 hit = k + 2, tokens[k + 1][0] + len(_bare(tokens[k + 1][2]))
             if hit is None:
                 k += 1
