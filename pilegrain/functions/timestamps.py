@@ -3,7 +3,8 @@
 Each value is reduced to its shape mask (digits become 9, letters a). A mask has fixed character
 positions, so it is compiled to a parser once per process and all values of that mask are then cut
 and converted together with NumPy. Local times go through zone transition tables read from the
-machine's compiled zone files; zone_version() names their release.
+machine's compiled zone files, all transitions they hold and the rules for any year to come. The release of these files
+(zone_version) is taken on the driver and held against that of every worker: a machine with another release is an error.
 
 Defined results: null, empty, cut-off, placeholder and impossible values give null. A zone or offset in
 the text wins, then the zone column, then UTC; an unknown zone column counts as missing; an
@@ -66,6 +67,7 @@ def compile_mask(mask: str) -> dict[str, tuple[int, int]] | None:
     return None
 
 
+@lru_cache(maxsize=1)
 def zone_version() -> str:
     """Release of the zone tables in use."""
     for base in zoneinfo.TZPATH:
@@ -79,9 +81,13 @@ def zone_version() -> str:
     return "unknown"
 
 
+#: 1 January 2100, up to which a table is made at first, and the seconds of 400 years, after which calendar and rules repeat.
+FAR, CYCLE = 4_102_444_800, 146_097 * 86_400
+
+
 @lru_cache(maxsize=1024)
-def zone_table(name: str) -> tuple[np.ndarray, np.ndarray] | None:
-    """(local seconds from which the next offset holds, offsets); null for an unknown zone.
+def zone_table(name: str, last: int = FAR) -> tuple[np.ndarray, np.ndarray] | None:
+    """(local seconds from which the next offset holds, offsets) up to last; null for an unknown zone.
 
     A transition holds from the later of its two local readings: skipped and repeated times are
     then both read with the offset before it, which gives the wanted instant in either case.
@@ -94,7 +100,7 @@ def zone_table(name: str) -> tuple[np.ndarray, np.ndarray] | None:
         return None
     at = _explicit(name)
     offset = lambda t: int(datetime.fromtimestamp(t, timezone.utc).astimezone(zone).utcoffset().total_seconds())
-    first, last = -2_208_988_800, 4_102_444_800  # 1900 and 2100; later rules are found by bisection between weekly probes
+    first = -2_208_988_800  # 1900, where no transition is written; later rules are found by bisection between weekly probes
     since = max([first, *at])
     probe, week = since + 1, 7 * 86_400
     before = offset(probe)
@@ -131,7 +137,7 @@ def _explicit(name: str) -> list[int]:
             at += times * 5 + types * 6 + chars + leap * 8 + isstd + isut
             counts, wide = head.unpack_from(raw, at)[2:], 8
             at += head.size
-        return [t for t in struct.unpack_from(f">{counts[3]}{'q' if wide == 8 else 'l'}", raw, at) if t > -2_208_988_800]
+        return [t for t in struct.unpack_from(f">{counts[3]}{'q' if wide == 8 else 'l'}", raw, at) if t > -62_000_000_000]  # the first are place holders before year 1
     return []
 
 
@@ -140,6 +146,18 @@ def _zone_names() -> dict[str, str]:
     return {z.lower(): z for z in zoneinfo.available_timezones()}
 
 
+def zone_offsets(name: str, local: np.ndarray) -> np.ndarray | None:
+    """Offset of every local time; null for an unknown zone. Times from 2100 are read in the cycle of 400 years that begins there."""
+    held = zone_table(name)
+    if held is None:
+        return None
+    far = local >= FAR - 86_400
+    if far.any():
+        held = zone_table(name, FAR + CYCLE + 400 * 86_400)
+        local = np.where(far, FAR + (local - FAR) % CYCLE, local)
+    return held[1][np.searchsorted(held[0], local, side="right")] if len(held[0]) else np.full(len(local), held[1][0])
+
+
 def _days(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Days since 1970 of proleptic Gregorian dates."""
     y = y - (m <= 2)
@@ -208,14 +226,12 @@ def _parse(values: list[str], slots: dict[str, tuple[int, int]], zones: np.ndarr
             a, b = slots["region"]
             zones = np.array([v[a:b] for v in values], dtype=object)
         for z in set(zones):
-            held = zone_table(_zone_names().get(z.strip().lower(), z.strip()) if z and z.strip() else "UTC")
             at = zones == z
-            if held is None and named:
+            east = zone_offsets(_zone_names().get(z.strip().lower(), z.strip()) if z and z.strip() else "UTC", local[at])
+            if east is not None:
+                shift[at] = east
+            elif named:
                 ok &= ~at
-            elif held is not None and len(held[0]):
-                shift[at] = held[1][np.searchsorted(held[0], local[at], side="right")]
-            elif held is not None:
-                shift[at] = held[1][0]
     return (local - shift) * US + micros(), ok
 
 
@@ -231,7 +247,8 @@ def normalise(values: pa.Array, zones: pa.Array) -> pa.Array:
     bounds = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
     texts, names = text.to_numpy(zero_copy_only=False), pc.fill_null(zones, "").to_numpy(zero_copy_only=False)
     for code, shape in enumerate(coded.dictionary.to_pylist()):
-        slots = compile_mask(shape) if shape.isascii() and len(shape) <= 80 else None
+        compiled = compile_mask if len(shape) <= 80 else compile_mask.__wrapped__  # only usual lengths are worth keeping
+        slots = compiled(shape) if shape.isascii() else None
         if slots:
             rows = order[bounds[code] : bounds[code + 1]]
             out[rows], good[rows] = _parse(list(texts[rows]), slots, names[rows])
@@ -239,7 +256,9 @@ def normalise(values: pa.Array, zones: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(LongType())
-def _utc_us(value: pa.Array, zone: pa.Array) -> pa.Array:
+def _utc_us(value: pa.Array, zone: pa.Array, version: pa.Array) -> pa.Array:
+    if len(version) and version[0].as_py() != zone_version():
+        raise RuntimeError(f"zone tables of release {zone_version()} here, {version[0].as_py()} on the driver")
     return normalise(value, zone)
 
 
@@ -248,7 +267,7 @@ _utc_us = _utc_us.asNondeterministic()  # else a filter on the result is pushed
 
 def utc_us(value: Column, zone: Column) -> Column:
     """Microseconds since 1970 UTC of a written time, null where it holds none."""
-    return _utc_us(value.cast("string"), zone.cast("string"))
+    return _utc_us(value.cast("string"), zone.cast("string"), F.lit(zone_version()))
 
 
 def written_times(photos: DataFrame, fields: list[str], key: str = "photo_id", zone: str = "tz_name") -> DataFrame:

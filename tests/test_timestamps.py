@@ -62,3 +62,40 @@ def test_table_form(spark):
     assert got.columns == ["photo_id", "field", "utc_us"]
     assert [tuple(r) for r in got.collect()] == [(1, "taken_at", 1_577_836_800_000_000)]
     assert written_times(rows.limit(0), ["taken_at"]).collect() == []
+
+
+def test_times_of_any_year_follow_the_zone_files():
+    import zoneinfo
+    from datetime import datetime, timezone
+
+    import numpy as np
+
+    from pilegrain.functions.timestamps import zone_offsets
+
+    for name in ("Europe/Berlin", "America/New_York", "Asia/Kolkata", "Australia/Sydney", "UTC"):
+        zone = zoneinfo.ZoneInfo(name)
+        for year in (1850, 1895, 1950, 2024, 2099, 2100, 2101, 2150, 2499, 2500, 2777, 9000):
+            for month, day in ((1, 15), (7, 15), (12, 31)):
+                at = datetime(year, month, day, 12)
+                seconds = int(at.replace(tzinfo=timezone.utc).timestamp())
+                want = at.replace(tzinfo=zone).utcoffset().total_seconds()
+                assert zone_offsets(name, np.array([seconds]))[0] == int(want), (name, year, month)
+
+
+def test_a_long_fraction_is_read():
+    import pyarrow as pa
+
+    from pilegrain.functions.timestamps import normalise
+
+    got = normalise(pa.array(["2020-01-01T00:00:00." + "1" * 300, "x" * 500_000]), pa.array(["UTC", None])).to_pylist()
+    assert got == [1_577_836_800_111_111, None]
+
+
+def test_other_zone_files_are_an_error():
+    import pyarrow as pa
+    import pytest
+
+    from pilegrain.functions import timestamps
+
+    with pytest.raises(RuntimeError):
+        timestamps._utc_us.func(pa.array(["2020"]), pa.array(["UTC"]), pa.array(["another"]))
