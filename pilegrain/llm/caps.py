@@ -6,17 +6,32 @@ ranked window passes. A rank below a fixed cap is limited map-side before the sh
 contributor sends at most cap rows from each task.
 
 Defined results: records without the exempting key are exempt; null and NaN scores rank last, equal scores by
-smaller id; a null cap caps nothing; an empty table gives an empty result.
+smaller id; a null cap caps nothing; a cap written as a fraction is that share of all records given, cut to whole records; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def within(records: DataFrame, levels: list[tuple[list[str], int | None]], score: str, key: str) -> DataFrame:
+Level = tuple[list[str], "int | float | None"]
+
+
+def counted(records: DataFrame, levels: list[Level]) -> list[Level]:
+    """The levels with shares turned into counts of the records given."""
+    if not any(isinstance(cap, float) for _, cap in levels):
+        return levels
+    total = records.count()
+    return [(by, math.floor(cap * total + 1e-9) if isinstance(cap, float) else cap) for by, cap in levels]
+
+
+def within(records: DataFrame, levels: list[Level], score: str, key: str) -> DataFrame:
     """The records that every cap keeps; innermost level first."""
+    levels = counted(records, levels)
     best = [F.when(~F.isnan(score), F.col(score)).desc_nulls_last(), F.col(key).asc()]
     for by, cap in levels:
         if cap is not None:
@@ -24,7 +39,7 @@ def within(records: DataFrame, levels: list[tuple[list[str], int | None]], score
     return records
 
 
-def beyond(records: DataFrame, levels: list[tuple[list[str], int | None]], score: str, key: str) -> DataFrame:
+def beyond(records: DataFrame, levels: list[Level], score: str, key: str) -> DataFrame:
     """The records that the caps remove."""
     slim = records.select(key, score, *dict.fromkeys(c for by, _ in levels for c in by))
     return records.join(within(slim, levels, score, key).select(key), key, "left_anti")

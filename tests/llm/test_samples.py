@@ -49,6 +49,8 @@ def test_caps_against_a_greedy_one(spark):
     assert got == want
     assert {x["id"] for x in beyond(df, [(["c", "d"], 7), (["c"], 15)], "s", "id").collect()} == {x[0] for x in rows} - want
     assert within(df, [(["c"], None)], "s", "id").count() == 300
+    shares = within(df, [(["c", "d"], 0.05), (["c"], 0.1)], "s", "id").groupBy("c").count().collect()  # 15 of each cluster and day, 30 of each cluster
+    assert max(r["count"] for r in shares) == 30
     assert beyond(df.limit(0), [(["c"], 1)], "s", "id").collect() == []
 
 
