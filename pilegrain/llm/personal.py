@@ -7,8 +7,9 @@ right, one on either side. Spark scores the graph of patterns and instances in t
 of its occurrences with a known instance, an instance by the share of its occurrences in a good pattern.
 High-confidence patterns so discover identifiers without a label, names without a title, and other
 scripts; what they teach is a lexicon of given and family names and of number shapes, which then
-tags every text. Addresses and mail addresses are told by their own form; mail hosts written around
-their at sign or dots must be hosts seen plainly elsewhere.
+tags every text. Addresses are frames of a house number and capitalised words; their street kind (a last word, a
+first word, an ending) is a seed or is learnt in turns from the patterns that addresses with known kinds stand in.
+Mail addresses are told by their own form; mail hosts written around their at sign or dots must be hosts seen plainly elsewhere.
 
 Scale: two passes over the texts without a shuffle of texts; the graph is aggregated before it is joined. A
 pattern or word counts from a few occurrences in a corpus of any size, so a rare name is not lost in a large one; the
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from pilegrain.session import cut
 
-#: Fewest occurrences of a pattern of names, of a word of a name, of a small word, of a number shape or its pattern, of a street or town.
-PATTERN, NAME, SMALL, FIGURE, PLACE = 3, 2, 3, 2, 2
+#: Fewest occurrences of a pattern of names, of a word of a name, of a small word, of a number shape or its pattern, of a street or town, of a street kind.
+PATTERN, NAME, SMALL, FIGURE, PLACE, WAY = 3, 2, 3, 2, 2, 3
 ROUNDS = 3
 TYPES = ("email", "address", "id_number", "phone", "name")
 
@@ -55,6 +56,8 @@ _HAN_NAME = re.compile(rf"({_HAN}{{1,4}})[ 　]({_HAN}{{1,4}})(?=({'|'.join(HONO
 
 # ---------------------------------------------------------------- forms
 
+_DIGIT = re.compile(r"\d")
+
 
 @lru_cache(maxsize=1)
 def _plain() -> dict[int, str]:
@@ -94,9 +97,10 @@ _FLOOR = r"(?:,? (?:\d{1,2}(?:st|nd|rd|th) [Ff]loor|[Ff]loor \d{1,2}|#\d{1,4}[A-
 _WAY = r"(?:Street|St\.|Road|Rd\.|Lane|Ln\.|Avenue|Ave|Drive|Close|Crescent|Row|Terrace|Court|Place|Way|Square|Boulevard|Blvd|Grove|Hill|Mews|Walk|Gardens|Parade|Alley)"
 _TAIL = rf"(?:,? {_POST}|, {_TOWN}(?:,? {_POST})?)?"
 _TAIL_ROMANCE = rf"(?:, \d{{5}} {_TOWN})?"
+_COMPASS = r"(?: (?:[NS][EW]?|[EW])(?![\p{L}\d]))"
 ADDRESS = re.compile(
     r"(?<![A-Za-zÀ-ɏ\d/\-])(?:"
-    rf"(?:{_UNIT}, )?\d{{1,4}}[a-z]? (?:St\. )?(?:{_CAP} ){{1,3}}{_WAY}(?![\p{{L}}]){_FLOOR}?{_TAIL}"
+    rf"(?:{_UNIT}, )?\d{{1,4}}[a-z]? (?:St\. )?(?:{_CAP} ){{1,3}}{_WAY}(?![\p{{L}}]){_COMPASS}?{_FLOOR}?{_TAIL}"
     rf"|P\.? ?O\.? ?Box \d{{1,5}}{_TAIL}"
     rf"|(?:(?:Alte|Neue|Große|Kleine|Obere|Untere) )?{_CAP}?(?:straße|strasse|gasse|weg|platz|allee|str\.|ufer|ring) \d{{1,4}}(?: ?[a-z](?![\p{{L}}]))?(?:, \d{{5}} {_TOWN})?"
     rf"|(?:Am|An der|An den|Auf der|Im|In der|Zum|Zur|Hinter der|Unter den) {_CAP} \d{{1,4}}(?: ?[a-z](?![\p{{L}}]))?(?:, \d{{5}} {_TOWN})?"
@@ -114,6 +118,56 @@ LOOSE = re.compile(
 )
 STREET = re.compile(rf"\d{{1,4}}[a-z]? (?P<street>(?:St\. )?(?:{_CAP} ){{1,3}}{_WAY})(?![\p{{L}}]){_FLOOR}?(?:, (?P<town>{_TOWN}))?")
 
+_OF = r"(?:de la|de los|de las|del|della|dei|do|da|dos|das|des|du|de|van de|van der|van)"
+_PLACED = r"(?![\p{L}\d]|[.:/\-]\d|[%°€$])"
+#: Frames of a house number and the words beside it: the street kind as last word, as first word, as an ending.
+FRAMES = {
+    "last": re.compile(rf"(?<![\p{{L}}\d/\-.,#])\d{{1,4}}[a-z]? (?:St\. )?(?:{_CAP} ){{1,3}}(?P<k>\p{{Lu}}\p{{L}}{{1,3}}\.|{_CAP})(?![\p{{L}}\d])"),
+    "first": re.compile(rf"(?<![\p{{L}}\d])(?P<k>\p{{L}}{{2,5}}\.|\p{{Lu}}\p{{L}}{{1,9}})(?: {_OF})? (?:{_CAP} (?:{_OF} )?){{0,3}}{_CAP},? \d{{1,4}}[a-z]?{_PLACED}"),
+    "ending": re.compile(rf"(?<![\p{{L}}\d]|\p{{L}}\. |\p{{Lu}}\p{{L}}{{1,9}} )(?P<k>\p{{Lu}}\p{{Ll}}{{6,}}) \d{{1,4}}[a-z]?{_PLACED}"),
+}
+#: Street kinds that seed the learning.
+SEED_KINDS = {
+    "last": frozenset("street st. road rd. lane ln. avenue ave drive close crescent row terrace court place way square boulevard blvd grove hill mews walk gardens parade alley".split()),
+    "first": frozenset("calle avda. avenida paseo plaza camino ronda".split()),
+    "ending": frozenset("straße strasse gasse weg platz allee ufer ring".split()),
+}
+
+
+def frames(text: str, seeds: dict[str, frozenset] = SEED_KINDS) -> Iterator[tuple[str, tuple[str, str, str], bool]]:
+    """(kind, patterns, seed) of every frame: the kind is last, first or ending and the word; an ending is given at several lengths."""
+    for role, form in FRAMES.items():
+        for m in form.finditer(text):
+            i, j = m.span()
+            word = m["k"].casefold()
+            if word.rstrip(".") in seeds[role]:
+                word = word.rstrip(".")
+            before = tokens_of(text[max(0, i - 40) : i].rsplit("\n", 1)[-1])[-2:]
+            after = tokens_of(text[j : j + 30].split("\n", 1)[0])[:2]
+            around = (*_around([*before, (0, 0, "_", "n"), *after], len(before), len(before))[:2], "")  # one word on either side says too little
+            if role == "ending":
+                seed = word.endswith(tuple(seeds[role]))
+                for n in (4, 5, 6):
+                    yield f"{role} {word[-n:]}", around, seed
+            else:
+                yield f"{role} {word}", around, word in seeds[role]
+
+
+def learnt_address(kinds: dict[str, float]) -> re.Pattern | None:
+    """The form of addresses of learnt kinds; null where there are none."""
+    held = {role: sorted((k.split(" ", 1)[1] for k in kinds if k.startswith(role + " ")), key=lambda w: (-len(w), w)) for role in FRAMES}
+    tail = rf"(?:,? (?:\d{{4,5}}(?: [A-Z]{{2}}(?![\p{{L}}]))? {_TOWN}|{_POST})|, {_TOWN}(?:,? {_POST})?)?"
+    words = lambda role: "(?i:" + "|".join(re.escape(w) for w in held[role]) + ")"
+    forms = []
+    if held["last"]:
+        forms.append(rf"(?:{_UNIT}, )?\d{{1,4}}[a-z]? (?:St\. )?(?:{_CAP} ){{1,3}}(?=\p{{Lu}}){words('last')}(?![\p{{L}}]){_COMPASS}?{_FLOOR}?{tail}")
+    if held["first"]:
+        forms.append(rf"{words('first')}(?: {_OF})? (?:{_CAP} (?:{_OF} )?){{0,3}}{_CAP},?(?: n[º°]\.?)? \d{{1,4}}[a-z]?{_PLACED}{tail}")
+    if held["ending"]:
+        forms.append(rf"\p{{Lu}}\p{{Ll}}*{words('ending')} \d{{1,4}}[a-z]?{_PLACED}{tail}")
+    return re.compile(r"(?<![\p{L}\d/\-])(?:" + "|".join(forms) + ")") if forms else None
+
+
 # ---------------------------------------------------------------- candidates
 
 
@@ -202,7 +256,7 @@ def _street(written: str) -> str:
 _PAIRS = "kind string, a string, b string, l string, r string, c string, seed string"
 
 
-def candidates(texts: DataFrame, text: str) -> DataFrame:
+def candidates(texts: DataFrame, text: str, kinds: dict[str, frozenset] = SEED_KINDS) -> DataFrame:
     """Aggregated candidates: kind, words or shape, patterns, seed, how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,6 +278,9 @@ def candidates(texts: DataFrame, text: str) -> DataFrame:
                     if m.group(2).rsplit(".", 1)[-1].casefold() not in NOT_HOSTS:
                         k = ("host", m.group(2).casefold(), "", "", "", "", "")
                         seen[k] = seen.get(k, 0) + 1
+                for way, (left, right, both), seed in frames(plain, kinds) if _DIGIT.search(plain) else ():
+                    k = ("way", way, "", left, right, both, "way" if seed else "")
+                    seen[k] = seen.get(k, 0) + 1
                 for m in STREET.finditer(plain):
                     for k in ("street", _street(m["street"]), "", "", "", "", ""), ("town", (m["town"] or "").casefold(), "", "", "", "", ""):
                         if k[1]:
@@ -258,9 +315,26 @@ def _best(rows: DataFrame, rated: DataFrame) -> DataFrame:
     return rows.withColumn("best", F.greatest(*[F.coalesce(f"_s{i}", F.lit(0.0)) for i in range(3)])).drop("_s0", "_s1", "_s2")
 
 
-def learn(texts: DataFrame, text: str) -> dict[str, dict[str, float]]:
-    """given, family: words; shape: number shapes by type; pattern: good patterns by type; host: mail hosts."""
-    held = cut(candidates(texts, text))
+def ways(met: DataFrame) -> dict[str, float]:
+    """Street kinds learnt from the patterns of known ones: a pattern counts by the share of its frames with a known kind, a kind by the share of its frames in a good pattern.
+
+    Of endings of one word that score alike the longest is kept.
+    """
+    met = cut(met)
+    known = met.where("seed = 'way'").select("a").limit(0).withColumn("score", F.lit(1.0))
+    for _ in range(2):
+        scored = met.join(known, "a", "left").withColumn("w", F.when(F.col("seed") == "way", 1.0).otherwise(F.coalesce("score", F.lit(0.0)))).drop("score")
+        rated = cut(_patterns(scored, PATTERN, 0.5, _VAGUE + "|^$"))
+        told = _best(met.where("seed = ''"), rated)
+        every = told.groupBy("a").agg((F.sum(F.col("n") * F.col("best")) / F.sum("n")).alias("score"), F.sum("n").alias("m"), F.count_distinct(F.when(F.col("best") > 0, F.struct("l", "r"))).alias("places"))
+        known = cut(every.where((F.col("m") >= WAY) & (F.col("score") >= 0.5)).select("a", "score"))
+    found = {r["a"]: r["score"] for r in known.toLocalIterator()}
+    return {k: v for k, v in found.items() if not (k.startswith("ending ") and any(o != k and o.endswith(k.split(" ", 1)[1]) and o.startswith("ending ") for o in found))}
+
+
+def learn(texts: DataFrame, text: str, kinds: dict[str, frozenset] = SEED_KINDS) -> dict[str, dict[str, float]]:
+    """given, family: words; shape: number shapes by type; pattern: good patterns by type; host: mail hosts; way: street kinds beyond the seeds."""
+    held = cut(candidates(texts, text, kinds))
     out: dict[str, dict[str, float]] = {}
 
     names = held.where("kind = 'name'")
@@ -311,6 +385,7 @@ def learn(texts: DataFrame, text: str) -> dict[str, dict[str, float]]:
             shapes = cut(told.groupBy("a").agg((F.sum(F.col("n") * F.col("best")) / F.sum("n")).alias("score"), F.sum("n").alias("m")).where((F.col("m") >= FIGURE) & (F.col("score") >= 0.01)).select("a", "score"))
         out["shape " + kind] = {r["a"]: r["score"] for r in shapes.toLocalIterator()}
         out["pattern " + kind] = {r["p"]: r["score"] for r in rated.where("score >= 0.4").toLocalIterator()}
+    out["way"] = ways(held.where("kind = 'way'"))
     hosts = held.where("kind = 'host'").select("a").distinct()
     out["host"] = {r["a"]: 1.0 for r in hosts.toLocalIterator()}
     for kind in ("street", "town"):
@@ -322,12 +397,10 @@ def learn(texts: DataFrame, text: str) -> dict[str, dict[str, float]]:
 # ---------------------------------------------------------------- tagging
 
 
-_DIGIT = re.compile(r"\d")
-
-
 class Tagger:
     def __init__(self, learnt: dict[str, dict[str, float]]) -> None:
         self.given, self.family, self.learnt = learnt["given"], learnt["family"], learnt
+        self.ways = learnt_address(learnt["way"])
         self._numbers: tuple[str | None, list] = None, []
         self._held: dict[str, tuple[bool, bool]] = {}
         han = [(w, k) for k in ("given", "family") for w in learnt[k] if re.fullmatch(rf"{_HAN}+", w)]
@@ -373,6 +446,8 @@ class Tagger:
             return
         for m in ADDRESS.finditer(plain):
             yield m.span()
+        for m in self.ways.finditer(plain) if self.ways else ():
+            yield m.span()
         for m in LOOSE.finditer(plain):
             if not m["street"] or _street(m["street"]) in self.learnt["street"]:
                 known = not m["town"] or m["town"].casefold() in self.learnt["town"]

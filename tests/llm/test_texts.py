@@ -6,7 +6,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from pilegrain.llm import encode
+from pilegrain.llm import encode, personal
 from pilegrain.llm.personal import MAIL, Tagger, learn, numbers, redacted, spans
 
 pytestmark = pytest.mark.skipif(not os.path.exists(encode.VOCABULARY), reason="no vocabulary files here")
@@ -110,3 +110,27 @@ def test_forms():
     assert MAIL.search("原本はa_b@x.exampleへ").group() == "a_b@x.example"
     assert [s for *_, s, _, _ in numbers("Film roll 650-42-2205")] == ["i 999-99-9999"]
     assert [(i, j) for i, j, *_ in numbers("電話は050-0000-0143。")] == [(3, 16)]
+
+
+PLACES = ["We lived at {} for years", "please write to {} soon", "Vive en {} con su madre", "she moved to {} last May", "Let us meet at {} after lunch"]
+WITHHELD = ["{} Elm Parkway", "{} Oak Parkway", "{} Birch Parkway", "{} Sunset Trail", "{} Hilltop Trail", "{} Ridge Trail", "Via Roma {}, 20121 Milano", "Via Dante {}, 20121 Milano", "Via Garibaldi {}", "Kerkstraat {}, 1017 GA Amsterdam", "Dorpsstraat {}, 1017 GA Amsterdam", "Molenstraat {}", "Rua Augusta {}", "Rua do Carmo {}", "Rua Direita {}", "ul. Marszalkowska {}", "ul. Długa {}", "ul. Polna {}"]
+
+
+def test_street_kinds_that_no_seed_holds_are_learnt(spark):
+    """Parkway, Trail, Via, -straat, Rua and ul. are learnt from what stands around addresses of known kinds; recall and precision on them are asserted."""
+    r = random.Random(1)
+    known = lambda: r.choice([f"{r.randint(1, 200)} {r.choice(['Mill', 'Ferry'])} {r.choice(['Street', 'Road', 'Lane'])}", f"Calle del Olmo {r.randint(1, 99)}", f"Lerchenstraße {r.randint(1, 99)}"])
+    rows, want = [r.choice(PLACES).format(known()) for _ in range(300)], []
+    for _ in range(180):
+        address = r.choice(WITHHELD).format(r.randint(1, 200))
+        rows.append(r.choice(PLACES).format(address))
+        want.append((rows[-1], address))
+    noise = ["The scan of Roll Film 12 shows", "Box Number 14, shelf 3", "Canon Eos 550 took it", "Chapter Ten 12 is short", "Frame Larkspur 120 is blurred"]
+    learnt = personal.learn(spark.createDataFrame([(x,) for x in rows + noise * 20], "text string"), "text")
+    tagger = personal.Tagger(learnt)
+    found = sum((t.index(a), t.index(a) + len(a), "address") in tagger.spans(t) for t, a in want)
+    assert found >= 0.98 * len(want)
+    assert not any(k == "address" for x in noise for _, _, k in tagger.spans(x))
+    for a in ("Via Roma 12, 20121 Milano", "Kerkstraat 12, 1017 GA Amsterdam", "Rua Augusta 1500", "12 Elm Parkway", "44 Sunset Trail", "ul. Marszalkowska 10", "1600 Pennsylvania Avenue NW"):
+        assert (0, len(a), "address") in tagger.spans(a), a
+    assert personal.learnt_address({}) is None and personal.ways(spark.createDataFrame([], personal._PAIRS + ", n long").where("kind = 'way'")) == {}
