@@ -74,7 +74,7 @@ def _shrink(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return v[keep], u[keep]
 
 
-def _beside(rows: DataFrame, key: str, told: DataFrame) -> DataFrame:
+def beside(rows: DataFrame, key: str, told: DataFrame) -> DataFrame:
     """rows with the columns of told, which has one row per key: each of them is copied to SALTS keys, so that no task has all rows of a hot key."""
     copies = told.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rows.withColumn("_s", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
@@ -85,13 +85,13 @@ def _large_star(forest: DataFrame) -> DataFrame:
     """Each larger neighbour of v is linked to the smallest vertex in v's neighbourhood."""
     both = forest.union(forest.select(F.col("u").alias("v"), F.col("v").alias("u")))
     least = both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m"))
-    return _beside(both.where("u > v"), "v", least).select(F.col("u").alias("v"), F.col("m").alias("u")).where("v > u")
+    return beside(both.where("u > v"), "v", least).select(F.col("u").alias("v"), F.col("m").alias("u")).where("v > u")
 
 
 def _small_star(forest: DataFrame) -> DataFrame:
     """The smaller neighbours of v and v itself are linked to the smallest of them."""
     least = forest.groupBy("v").agg(F.min("u").alias("m"))
-    linked = _beside(forest, "v", least).where("u > m").select(F.col("u").alias("v"), F.col("m").alias("u"))
+    linked = beside(forest, "v", least).where("u > m").select(F.col("u").alias("v"), F.col("m").alias("u"))
     return linked.union(least.select("v", F.col("m").alias("u")))
 
 

@@ -111,10 +111,13 @@ def per_person(table: DataFrame) -> DataFrame:
 def error_bar(table: DataFrame, people: int, draws: int = 200, seed: int = 5) -> DataFrame:
     """One row: percentiles 5, 50, 95 and the least F1 over random sets of so many people; each draw counts only its own people.
 
-    A person is in a draw when its hash ranks among the first; draws are independent groups.
+    A person is in a draw when its hash ranks among the first; draws are independent groups. Only hashes low enough to
+    be among them, six standard deviations allowed for, are ranked.
     """
     names = table.select("person").distinct().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    order = Window.partitionBy("draw").orderBy(F.xxhash64("person", "draw", F.lit(seed)), "person")
+    share = min(1.0, (people + 6 * people**0.5 + 10) / max(1, table.select("person").distinct().count()))
+    names = names.where(F.shiftrightunsigned(F.xxhash64("person", "draw", F.lit(seed)), 11) / F.lit(float(1 << 53)) < share)
+    order = Window.partitionBy("draw").orderBy(F.shiftrightunsigned(F.xxhash64("person", "draw", F.lit(seed)), 11), "person")
     chosen = names.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= people).drop("_r")
     rows = table.select("person", "cluster", "n", "n_person").join(chosen, "person")
     cluster = rows.groupBy("draw", "cluster").agg(F.sum("n").alias("n_cluster"))

@@ -94,7 +94,7 @@ def coverage_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def piles_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, faces = _members(spark, sf_dir), _faces(spark, sf_dir)
-    return review.piles_needed(cut(coverage_curve(spark, sf_dir)), members, faces, [0.3, 0.4, 0.5, 0.7, 0.9])
+    return review.piles_needed(cut(coverage_curve(spark, sf_dir)), members, faces, [0.5, 0.7, 0.8, 0.9, 0.95])
 
 
 def label_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,7 +256,7 @@ ORACLE = {
     "pile_members": sql_with("cur_pool", "cur_faces", more=_MEM + ", " + _FACE) + f"SELECT * FROM (SELECT pile_id, face_id, {_BEST.format(k='pile_id')} AS position FROM members JOIN f USING (face_id) WHERE pile_id <> -1) WHERE position < 24",
     "junk_and_lone": sql_with("log", "cur_pool", more=_NOW + ", " + _MEM + ", " + _OPEN) + "SELECT 'junk' AS bucket, face_id FROM members WHERE face_id IN (SELECT face_id FROM now WHERE kind = 'junk') UNION ALL SELECT 'lone', face_id FROM op WHERE pile_id = -1",
     "coverage_curve": _RANK.rstrip() + ", " + _CURVE + " SELECT * FROM curve",
-    "piles_needed": _RANK.rstrip() + ", " + _CURVE + ", tc AS (SELECT count(*) AS clear FROM members JOIN f USING (face_id) WHERE interocular_px >= 50), tg(target) AS (VALUES (0.3::DOUBLE), (0.4), (0.5), (0.7), (0.9)) SELECT target, min(rank) FILTER (WHERE clear_upto >= target * clear) AS piles FROM tg, tc, curve GROUP BY target",
+    "piles_needed": _RANK.rstrip() + ", " + _CURVE + ", tc AS (SELECT count(*) AS clear FROM members JOIN f USING (face_id) WHERE interocular_px >= 50), tg(target) AS (VALUES (0.5::DOUBLE), (0.7), (0.8), (0.9), (0.95)) SELECT target, min(rank) FILTER (WHERE clear_upto >= target * clear) AS piles FROM tg, tc, curve GROUP BY target",
     "label_summary": sql_with("cur_gold") + "SELECT label, count(*) AS faces, count(DISTINCT person_id) AS people FROM cur_gold GROUP BY label",
     "readability": sql_with("cur_gold", "cur_faces", more=_FACE) + f"SELECT {_BAND} AS band, " + ", ".join(f"count(*) FILTER (WHERE label = '{x}') AS {x}" for x in ("person", "not_of_interest", "non_face", "unsure")) + " FROM cur_gold JOIN f USING (face_id) GROUP BY 1",
     "person_spans": sql_with("cur_gold", "cur_faces", "cur_photos", more=_FACE + ", " + _SPANS) + "SELECT person_id, first, last, CASE WHEN last - first >= 15 THEN '15+' WHEN last - first >= 10 THEN '10-14' WHEN last - first >= 5 THEN '5-9' WHEN last - first >= 1 THEN '1-4' ELSE '0' END AS band FROM sp",
@@ -269,6 +269,6 @@ ORACLE = {
     "size_bias": sql_with("cur_faces", "cur_photos", more=_KINDED) + f"SELECT pkind AS kind, count(*) AS faces, list_sort(list(interocular_px))[count(*) // 2 + 1] AS median, {_M('count(*) FILTER (WHERE interocular_px < 20) / count(*)')} AS tiny, {_M('count(*) FILTER (WHERE interocular_px >= 40) / count(*)')} AS usable FROM kf WHERE interocular_px IS NOT NULL GROUP BY 1",
     "face_pose": sql_with("cur_faces", more=_PT) + f"SELECT face_id, {_M('sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))')} AS eye, {_M('CASE WHEN sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) < 1e-6 THEN 0 ELSE least(greatest(((nx - (x1 + x2) / 2) * (x2 - x1) + (ny - (y1 + y2) / 2) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) * 180, -90), 90) END')} AS yaw, {_M('degrees(atan2(y2 - y1, x2 - x1))')} AS roll FROM q",
     "face_order": sql_with("cur_faces") + "SELECT id AS face_id, row_number() OVER (PARTITION BY photo_id ORDER BY (bbox_x2 - bbox_x1) * (bbox_y2 - bbox_y1) DESC, id) - 1 AS place FROM cur_faces",
-    "name_near_duplicates": "WITH n AS (SELECT DISTINCT lower(trim(person_id, ' ')) AS n FROM gold_labels WHERE label = 'person' AND length(trim(person_id, ' ')) > 9) SELECT a.n AS a, b.n AS b, levenshtein(a.n, b.n) AS distance FROM n a JOIN n b ON a.n < b.n AND abs(length(a.n) - length(b.n)) <= 1 WHERE levenshtein(a.n, b.n) <= 1",
+    "name_near_duplicates": "WITH n AS (SELECT DISTINCT lower(trim(person_id, ' ')) AS n FROM gold_labels WHERE label = 'person' AND trim(person_id, ' ') <> '') SELECT a.n AS a, b.n AS b, levenshtein(a.n, b.n) AS distance FROM n a JOIN n b ON a.n < b.n AND abs(length(a.n) - length(b.n)) <= 2 WHERE levenshtein(a.n, b.n) <= 2",
     "next_person_number": sql_with("cur_gold") + r"SELECT coalesce(max(TRY_CAST(regexp_extract(person_id, '(\d+)\s*$', 1) AS BIGINT)), 0) + 1 AS next_number FROM cur_gold WHERE person_id IS NOT NULL",
 }

@@ -9,7 +9,7 @@ from pilegrain.operators import metrics
 from pilegrain.sources import views
 from pilegrain.sources.views import sql_with
 
-DRAWS, PEOPLE = 100, 40
+DRAWS, PEOPLE = 2000, 40
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +64,11 @@ def per_person(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identity_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = _truth(spark, sf_dir).groupBy("person").agg(F.count("*").alias("faces")).withColumn("span", F.lit(0))
-    return metrics.split_identities(people).select("person", "faces", "place", "side")
+    """Every fifth person, by the years that their photos span, faces and name, is held out."""
+    year = F.nullif(F.regexp_extract("taken_at", r"^\s*(\d{4})[-:]", 1), F.lit("")).cast("int")
+    shown = views.faces(spark, sf_dir, "photo_id").select(F.col("id").alias("face_id"), "photo_id").join(views.photos(spark, sf_dir, "taken_at").select(F.col("id").alias("photo_id"), year.alias("year")), "photo_id")
+    people = _truth(spark, sf_dir).join(shown, "face_id", "left").groupBy("person").agg(F.count("*").alias("faces"), F.coalesce(F.max("year") - F.min("year"), F.lit(0)).alias("span"))
+    return metrics.split_identities(people).select("person", "faces", "span", "place", "side")
 
 
 def frequency_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +95,7 @@ _BASE = sql_with(
 _PAIRS = ", pw AS (SELECT (SELECT coalesce(sum(n * (n - 1) // 2), 0) FROM cells) AS hits, (SELECT sum(n) FROM cells) AS n_scored, (SELECT sum(nc * (nc - 1) // 2) FROM (SELECT DISTINCT cluster, nc FROM cells)) AS pp, (SELECT sum(np * (np - 1) // 2) FROM (SELECT DISTINCT person, np FROM cells)) AS tp) "
 _M = lambda x: f"CAST(round(({x}) * 1e6) AS BIGINT)"
 _F1 = "CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END"
+_SPLIT = sql_with("cur_gold", "cur_faces", "cur_photos", more=r"y AS (SELECT id AS photo_id, CAST(nullif(regexp_extract(taken_at, '^\s*(\d{4})[-:]', 1), '') AS INT) AS year FROM cur_photos), sh AS (SELECT f.id AS face_id, y.year FROM cur_faces f JOIN y USING (photo_id)), pe AS (SELECT g.person_id AS person, count(*) AS faces, coalesce(max(year) - min(year), 0) AS span FROM cur_gold g LEFT JOIN sh USING (face_id) WHERE label = 'person' AND person_id IS NOT NULL GROUP BY 1), rk AS (SELECT *, row_number() OVER (ORDER BY span DESC, faces DESC, person) AS place FROM pe)") + "SELECT person, faces, span, place, CASE WHEN (place - 1) % 5 = 4 THEN 'holdout' ELSE 'tune' END AS side FROM rk"
 ORACLE = {
     "pairwise_scores": _BASE.rstrip() + _PAIRS + f"SELECT CAST(hits AS BIGINT) AS hits, CAST(n_scored AS BIGINT) AS n_scored, CAST(pp AS BIGINT) AS predicted_pairs, CAST(tp AS BIGINT) AS true_pairs, {_M('p')} AS precision, {_M('r')} AS recall, {_M(_F1)} AS f1 FROM (SELECT *, CASE WHEN pp > 0 THEN hits / pp ELSE 0 END AS p, CASE WHEN tp > 0 THEN hits / tp ELSE 0 END AS r FROM pw)",
     "bcubed_scores": _BASE + f"SELECT n_scored, {_M('p')} AS precision, {_M('r')} AS recall, {_M(_F1)} AS f1 FROM (SELECT CAST(sum(n) AS BIGINT) AS n_scored, sum(n * (n / nc)) / sum(n) AS p, sum(n * (n / np)) / sum(n) AS r FROM cells)",
@@ -101,6 +105,6 @@ ORACLE = {
     "contamination": _BASE + f"SELECT count(*) FILTER (WHERE cluster_id IN (SELECT cluster_id FROM truth JOIN pred USING (face_id) WHERE cluster_id <> -1)) AS inside, count(*) AS n_junk, {_M('count(*) FILTER (WHERE cluster_id IN (SELECT cluster_id FROM truth JOIN pred USING (face_id) WHERE cluster_id <> -1)) / count(*)')} AS share FROM cur_gold JOIN pred USING (face_id) WHERE label IN ('non_face', 'not_of_interest')",
     "slice_scores": _BASE.rstrip() + f", rows AS (SELECT person, cluster, occlusion AS slice FROM truth JOIN pred USING (face_id) JOIN (SELECT face_id, occlusion FROM cur_gold WHERE occlusion IS NOT NULL) USING (face_id)), k AS (SELECT *, count(*) OVER (PARTITION BY person, cluster) AS n, count(*) OVER (PARTITION BY person) AS a, count(*) OVER (PARTITION BY cluster) AS b FROM rows) SELECT slice, faces, {_M('p')} AS precision, {_M('r')} AS recall, {_M(_F1)} AS f1 FROM (SELECT slice, count(*) AS faces, avg(n / b) AS p, avg(n / a) AS r FROM k GROUP BY slice) WHERE faces >= 10",
     "per_person": _BASE + f"SELECT person, faces, piles, largest, {_M('p')} AS precision, {_M('r')} AS recall, CASE WHEN p < 0.9 AND r < 0.9 THEN 'both' WHEN p < 0.9 THEN 'mixed' WHEN r < 0.9 THEN 'split' ELSE 'none' END AS failure FROM (SELECT person, CAST(sum(n) AS BIGINT) AS faces, count(*) AS piles, max(n) AS largest, sum(n * (n / nc)) / sum(n) AS p, sum(n * (n / np)) / sum(n) AS r FROM cells GROUP BY person)",
-    "identity_split": _BASE + "SELECT person, faces, place, CASE WHEN (place - 1) % 5 = 4 THEN 'holdout' ELSE 'tune' END AS side FROM (SELECT person, count(*) AS faces, row_number() OVER (ORDER BY count(*) DESC, person) AS place FROM truth GROUP BY person)",
+    "identity_split": _SPLIT,
     "frequency_bands": _BASE + "SELECT band, count(*) AS people, CAST(sum(faces) AS BIGINT) AS faces FROM (SELECT count(*) AS faces, CASE WHEN count(*) >= 40 THEN '40+' WHEN count(*) >= 15 THEN '15-39' WHEN count(*) >= 5 THEN '5-14' WHEN count(*) >= 2 THEN '2-4' ELSE '1' END AS band FROM truth GROUP BY person) GROUP BY band",
 }

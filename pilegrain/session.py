@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where none is set (tests, local mode)."""
+    """The shared folder of spark.checkpoint.dir; a folder of our own only where none is set in local mode; a cluster without one is an error."""
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pilegrain-")
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if where is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        where = tempfile.mkdtemp(prefix="pilegrain-")
     sc.setCheckpointDir(where)
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -28,7 +28,7 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
 
 def only_side(rows: DataFrame, split: DataFrame, side: str) -> DataFrame:
     """Identity rows of the people of one side; people that the split does not know drop out."""
-    return rows.join(F.broadcast(split.where(F.col("side") == side).select("person").limit(1_000_000)), "person", "left_semi")
+    return rows.join(split.where(F.col("side") == side).select("person"), "person", "left_semi")
 
 
 def export_gold(faces: DataFrame, photos: DataFrame, gold: DataFrame, strata: DataFrame) -> DataFrame:

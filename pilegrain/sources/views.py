@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pilegrain.operators import vectors
 from pilegrain.sources.tables import current_rows, table
 
 PHOTO = ["path", "rel_path", "size_bytes", "mtime", "quick_hash", "kind", "width", "height", "image_format", "taken_at", "taken_at_source", "exif_modified_at", "camera_make", "camera_model", "gps_lat", "gps_lon", "duplicate_of"]
@@ -37,6 +38,14 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1).cast("long"))).withColumn("day", day)
 
 
+def face_vectors(spark: SparkSession, sf_dir: str, dim: int = 256) -> DataFrame:
+    """(id, v): unit vectors of the model with the most faces, by the current row of each face where it is usable."""
+    rows = table(spark, sf_dir, "face_embeddings")
+    model = rows.where("model IS NOT NULL").groupBy("model").agg(F.countDistinct("face_id").alias("faces")).orderBy(F.desc("faces"), "model").first()
+    now = current_rows(rows.where(F.col("model") == (model["model"] if model else "")), ["face_id"], "created_at", ["embedding"])
+    return now.where(vectors.usable(F.col("embedding"), dim)).select(F.col("face_id").alias("id"), vectors.unit(F.col("embedding")).alias("v"))
+
+
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(face_id, kind, person_id, at): the labelling history as a decision log, copies once."""
     kind = F.when(F.col("label") == "person", "person").when(F.col("label").isin("not_of_interest", "non_face"), "junk").otherwise("unassigned")
@@ -53,6 +62,7 @@ SQL = {
     "cur_faces": _current("faces", "id", "created_at"),
     "cur_gold": f"SELECT face_id, label, nullif(trim(person_id, ' '), '') AS person_id, occlusion FROM ({_current('gold_labels', 'face_id', 'labelled_at')})",
     "cur_pool": f"SELECT face_id, coalesce(cluster_id, -1) AS cluster_id, det_score, CASE WHEN day IS NULL OR lower(trim(day)) IN ('', 'undated') THEN 'undated' ELSE substr(trim(day), 1, 10) END AS day FROM ({_current('candidates', 'face_id', 'created_at')})",
+    "fv": "SELECT face_id AS id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS v FROM (SELECT face_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY face_id ORDER BY created_at DESC NULLS LAST) AS r FROM face_embeddings WHERE face_id IS NOT NULL AND model = (SELECT model FROM face_embeddings WHERE model IS NOT NULL GROUP BY model ORDER BY count(DISTINCT face_id) DESC, model LIMIT 1)) WHERE r = 1 AND len(e) = 256 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0",
     "log": "SELECT DISTINCT face_id, CASE WHEN label = 'person' THEN 'person' WHEN label IN ('not_of_interest', 'non_face') THEN 'junk' ELSE 'unassigned' END AS kind, CASE WHEN label = 'person' THEN nullif(trim(person_id, ' '), '') END AS person_id, labelled_at AS at_time FROM gold_labels WHERE face_id IS NOT NULL",
 }
 
