@@ -59,9 +59,22 @@ def seeded(log: DataFrame, gold: DataFrame, at: Column) -> DataFrame:
     return fresh.select("face_id", F.lit("person").alias("kind"), "person_id", at.alias("at"), F.lit("seed").alias("batch"))
 
 
-def people_counts(now: DataFrame) -> DataFrame:
-    held = now.where("kind = 'person' AND person_id IS NOT NULL")
-    return held.groupBy("person_id").agg(F.count("*").alias("faces"), F.min("face_id").alias("sample"))
+def people_counts(now: DataFrame, people: DataFrame | None = None, faces: DataFrame | None = None) -> DataFrame:
+    """(person_id, faces, sample) of everyone who holds a face, with people also of those who hold none; the sample is the clearest face where faces is given, else the smallest id."""
+    held = now.where("kind = 'person' AND person_id IS NOT NULL").select("person_id", "face_id")
+    best = F.min("face_id")
+    if faces is not None:
+        held = held.join(faces.select("face_id", "interocular_px"), "face_id", "left")
+        best = (-F.max(F.struct(F.coalesce("interocular_px", F.lit(0.0)).alias("eye"), (-F.col("face_id")).alias("i")))["i"])
+    counts = held.groupBy("person_id").agg(F.count("*").alias("faces"), best.alias("sample"))
+    if people is None:
+        return counts
+    return people.select("person_id").distinct().join(counts, "person_id", "left").withColumn("faces", F.coalesce("faces", F.lit(0)))
+
+
+def page(rows: DataFrame, rank: str, number: int, size: int) -> DataFrame:
+    """Rows of a page, counted from 1, of a table with places from 1."""
+    return rows.where(F.col(rank).between((number - 1) * size + 1, number * size))
 
 
 def progress(members: DataFrame, now: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pilegrain.operators import edits, review
-from pilegrain.sources import views
+from pilegrain.operators.scalars import side_by_side
+from pilegrain.sources import scan, views
 from pilegrain.sources.tables import table
 from pilegrain.sources.views import sql_with
 
@@ -151,13 +152,53 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.runs(table(spark, sf_dir, "face_matches"), "run_id", "matched_at").select("run", "n_rows", F.col("last").cast("string").alias("last_at"), "latest")
 
 
-QUERIES = {f.__name__: f for f in (reject_merge, refused_pairs, faces_removed, person_split, set_aside_and_restored, skip_state, resolve_person, rename_person, labels_saved, labels_refused, labels_undone, labels_cleared, people_merged, runs)}
+def review_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: faces, decided faces, people, people whose id holds a letter, piles skipped at the moment."""
+    now, members = _now(spark, sf_dir), _members(spark, sf_dir)
+    named = now.agg(F.countDistinct(F.when((F.col("kind") == "person") & F.col("person_id").rlike("[A-Za-z]"), F.col("person_id"))).alias("people_named"))
+    skips = edits.skipped(_skips(spark, sf_dir), views.decisions(spark, sf_dir), members).agg(F.count("*").alias("piles_skipped"))
+    return side_by_side(review.progress(members, now), named, skips)
+
+
+def next_unskipped_pile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best pile with an open face that is not skipped."""
+    now, members = _now(spark, sf_dir), _members(spark, sf_dir)
+    faces = views.faces(spark, sf_dir, "interocular_px").withColumnRenamed("id", "face_id")
+    skips = edits.skipped(_skips(spark, sf_dir), views.decisions(spark, sf_dir), members)
+    return review.next_pile(review.ranked_piles(members, faces), review.open_faces(members, now), skips).select("pile_id", "faces", "rank")
+
+
+def pile_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of twenty-four piles in review order."""
+    faces = views.faces(spark, sf_dir, "interocular_px").withColumnRenamed("id", "face_id")
+    return review.page(review.ranked_piles(_members(spark, sf_dir), faces), "rank", 2, 24).select("pile_id", "faces", "rank")
+
+
+def photos_rescanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos and copies left when every file with an even id was scanned again: copies of the rescanned are told anew."""
+    old = views.photos(spark, sf_dir, "path", "duplicate_of")
+    after = scan.upsert_photos(old, old.where("id % 2 = 0").drop("duplicate_of"), "id")
+    return after.agg(F.count("*").alias("photos"), F.count("duplicate_of").alias("copies"))
+
+
+def photos_awaiting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept photos with no status of the detector at hand; a photo without faces has a status too."""
+    photos = views.photos(spark, sf_dir, "kind", "duplicate_of").where("duplicate_of IS NULL AND kind IN ('photo', 'forwarded')").select("id")
+    seen = table(spark, sf_dir, "faces").where("photo_id IS NOT NULL").select(F.col("photo_id").alias("id"), F.coalesce("detector", F.lit("?")).alias("version"), F.lit(None).cast("string").alias("fault")).distinct()
+    newest = seen.agg(F.max("version")).first()[0] or "?"
+    empty = photos.where("id % 7 = 0")  # stands for photos in which the detector found nothing
+    return scan.pending(photos, scan.mark_done(seen, empty, "id", newest), "id", newest)
+
+
+QUERIES = {f.__name__: f for f in (reject_merge, refused_pairs, faces_removed, person_split, set_aside_and_restored, skip_state, resolve_person, rename_person, labels_saved, labels_refused, labels_undone, labels_cleared, people_merged, runs, review_progress, next_unskipped_pile, pile_page, photos_rescanned, photos_awaiting)}
 
 _NOW = "now AS (SELECT face_id, kind, person_id FROM (SELECT *, row_number() OVER (PARTITION BY face_id ORDER BY at_time DESC NULLS LAST, kind DESC, person_id DESC NULLS LAST) AS r FROM log) WHERE r = 1)"
 _MEM = "members AS (SELECT face_id, cluster_id AS pile_id FROM cur_pool)"
 _DOUBT = "doubt AS (SELECT pile_id, min(CASE WHEN kind = 'person' THEN person_id END) AS person_id FROM members JOIN now USING (face_id) WHERE pile_id <> -1 GROUP BY pile_id HAVING bool_or(kind = 'junk') AND min(CASE WHEN kind = 'person' THEN person_id END) IS NOT NULL)"
 _BASE = sql_with("log", "cur_pool", more=", ".join((_NOW, _MEM, _DOUBT, "big AS (SELECT person_id FROM now WHERE kind = 'person' AND person_id IS NOT NULL GROUP BY person_id ORDER BY count(*) DESC, person_id LIMIT 1)")))
 _GOLD = sql_with("cur_gold", "log", "cur_pool", more=", ".join((_NOW, _MEM, "big AS (SELECT person_id FROM now WHERE kind = 'person' AND person_id IS NOT NULL GROUP BY person_id ORDER BY count(*) DESC, person_id LIMIT 1)")))
+_SKIPPED = "sk AS (SELECT pile_id, max(labelled_at) AS at_time FROM gold_labels JOIN members USING (face_id) WHERE label = 'unsure' AND pile_id <> -1 GROUP BY pile_id), dc AS (SELECT pile_id, max(at_time) AS d FROM log JOIN members USING (face_id) WHERE kind <> 'unassigned' GROUP BY pile_id), skp AS (SELECT pile_id FROM sk LEFT JOIN dc USING (pile_id) WHERE d IS NULL OR d < at_time)"
+_RANKS = sql_with("log", "cur_pool", "cur_faces", more=", ".join((_NOW, _MEM, _SKIPPED, "pl AS (SELECT pile_id, count(*) AS faces, quantile_cont(interocular_px, 0.5) AS eye FROM members JOIN cur_faces ON id = face_id WHERE pile_id <> -1 GROUP BY pile_id HAVING count(*) >= 2), sc AS (SELECT *, CAST(round(log10(faces + 1) * least(greatest(coalesce(eye / 50, 0), 0), 1) * least(greatest(coalesce(eye / 50, 0), 0), 1) * 1e6) AS BIGINT) AS score FROM pl), ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, faces DESC, pile_id) AS rank FROM sc)")))
 _FAULT = "CASE WHEN face_id IS NULL THEN 'no face' WHEN label IS NULL OR lower(trim(label, ' ')) NOT IN ('person', 'not_of_interest', 'non_face', 'unsure') THEN 'unknown label' WHEN lower(trim(label, ' ')) = 'person' AND coalesce(trim(person_id, ' '), '') = '' THEN 'person without id' WHEN lower(trim(label, ' ')) <> 'person' AND coalesce(trim(person_id, ' '), '') <> '' THEN 'id without person' END"
 ORACLE = {
     "reject_merge": _BASE + "SELECT m.face_id, d.person_id, 'refusal' AS batch FROM members m JOIN doubt d USING (pile_id)",
@@ -174,4 +215,9 @@ ORACLE = {
     "labels_cleared": _GOLD + "SELECT 'all' AS way, count(*) AS faces FROM cur_gold UNION ALL SELECT 'label', count(*) FROM cur_gold WHERE label = 'unsure' UNION ALL SELECT 'person', count(*) FROM cur_gold WHERE lower(trim(person_id, ' ')) = (SELECT lower(trim(person_id, ' ')) FROM big) UNION ALL SELECT 'cluster', count(*) FROM cur_gold WHERE face_id IN (SELECT face_id FROM members WHERE pile_id = 1)",
     "people_merged": sql_with("cur_gold", more="p AS (SELECT face_id, person_id FROM cur_gold WHERE label = 'person' AND person_id IS NOT NULL)") + "SELECT k.new AS person_id, count(*) AS faces FROM p JOIN (SELECT lower(trim(person_id, ' ')) AS k, min(person_id) AS new FROM p GROUP BY 1) k ON k.k = lower(trim(p.person_id, ' ')) GROUP BY 1",
     "runs": "SELECT run, n_rows, rtrim(rtrim(strftime(l, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS last_at, row_number() OVER (ORDER BY l DESC NULLS LAST, run DESC) = 1 AS latest FROM (SELECT run_id AS run, count(*) AS n_rows, max(matched_at) AS l FROM face_matches WHERE run_id IS NOT NULL GROUP BY run_id)",
+    "review_progress": _RANKS + "SELECT (SELECT count(*) FROM members) AS faces_total, count(*) FILTER (WHERE kind <> 'unassigned') AS faces_decided, count(DISTINCT CASE WHEN kind = 'person' THEN person_id END) AS people_known, count(DISTINCT CASE WHEN kind = 'person' AND regexp_matches(person_id, '[A-Za-z]') THEN person_id END) AS people_named, (SELECT count(*) FROM skp) AS piles_skipped FROM now",
+    "next_unskipped_pile": _RANKS + "SELECT pile_id, faces, rank FROM ranked WHERE pile_id IN (SELECT pile_id FROM members LEFT JOIN now USING (face_id) WHERE kind IS NULL OR kind = 'unassigned') AND pile_id NOT IN (SELECT pile_id FROM skp) ORDER BY rank LIMIT 1",
+    "pile_page": _RANKS + "SELECT pile_id, faces, rank FROM ranked WHERE rank BETWEEN 25 AND 48",
+    "photos_rescanned": sql_with("cur_photos") + "SELECT count(*) AS photos, count(CASE WHEN id % 2 = 1 THEN duplicate_of END) AS copies FROM cur_photos",
+    "photos_awaiting": sql_with("cur_photos", more="nw AS (SELECT max(coalesce(detector, '?')) AS v FROM faces WHERE photo_id IS NOT NULL)") + "SELECT id FROM cur_photos WHERE duplicate_of IS NULL AND kind IN ('photo', 'forwarded') AND id % 7 <> 0 AND id NOT IN (SELECT photo_id FROM faces, nw WHERE photo_id IS NOT NULL AND coalesce(detector, '?') = v)",
 }

@@ -41,6 +41,26 @@ def experiment_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows[0].union(rows[1]).union(rows[2])
 
 
+def largest_pile_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the largest pile of each cut is: welded (two labelled people or more), person (one), junk (none, and eyes below 0.6 of the median of all), else unknown; core is the share of the strictest cut's largest pile within it."""
+    vectors_ = cut(views.face_vectors(spark, sf_dir))
+    graph = cut(vectors.edges(vectors_, min(DIALS)))
+    truth = scores._truth(spark, sf_dir)
+    eyes = cut(views.faces(spark, sf_dir, "interocular_px").select(F.col("id").alias("face_id"), "interocular_px"))
+    middle = eyes.join(vectors_.select(F.col("id").alias("face_id")), "face_id").agg(F.percentile("interocular_px", 0.5).alias("pool_eye"))
+    rows = core = None
+    for t in DIALS:
+        groups = cluster.by_components(vectors_, graph.where(F.col("sim") >= t)).where("label <> -1")
+        top = groups.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(1).select("label")
+        held = cut(groups.join(F.broadcast(top), "label").select(F.col("id").alias("face_id")))
+        core = held if core is None else core
+        figures = side_by_side(held.agg(F.count("*").alias("faces")), held.join(truth, "face_id").agg(F.countDistinct("person").alias("people")), held.join(eyes, "face_id").agg(F.percentile("interocular_px", 0.5).alias("eye")), held.join(core, "face_id", "left_semi").agg(F.count("*").alias("_both")), core.agg(F.count("*").alias("_core")), middle)
+        verdict = F.when(F.col("people") >= 2, "welded").when(F.col("people") == 1, "person").when(F.col("eye") < 0.6 * F.col("pool_eye"), "junk").otherwise("unknown")
+        one = figures.where("faces > 0").select(F.lit(t).alias("least"), "faces", "people", verdict.alias("verdict"), micro(F.col("_both") / F.col("_core")).alias("core"))
+        rows = one if rows is None else rows.union(one)
+    return rows
+
+
 def experiment_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BCubed of the grouping at 0.51 by slice of the labels."""
     faces = cut(views.face_vectors(spark, sf_dir))
@@ -162,7 +182,7 @@ def pinned_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.trimmed(views.pool(spark, sf_dir).select("face_id"), 500, pinned)
 
 
-QUERIES = {f.__name__: f for f in (experiment_run, experiment_slices, merge_queue, merge_cut, closest_pairs, pile_ranking_coherent, pile_quality, worst_people, split_preview, pinned_trim)}
+QUERIES = {f.__name__: f for f in (experiment_run, largest_pile_verdict, experiment_slices, merge_queue, merge_cut, closest_pairs, pile_ranking_coherent, pile_quality, worst_people, split_preview, pinned_trim)}
 
 _MI = lambda x: f"CAST(round(({x}) * 1e6) AS BIGINT)"
 _F1 = "CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END"
@@ -173,6 +193,7 @@ _PEOPLE = ", p1 AS (SELECT person_id AS id, i, sum(s) / 1e6 AS s FROM d JOIN own
 ORACLE = {
     "experiment_run": _VECTORS + _GROUPS + f", b AS (SELECT least, sum(n) AS n_scored, sum(n * (n / nc)) / sum(n) AS p, sum(n * (n / np)) / sum(n) AS r, sum(n * (n - 1) // 2) AS hits FROM cells GROUP BY least), pp AS (SELECT least, sum(nc * (nc - 1) // 2) AS pp FROM (SELECT DISTINCT least, cluster, nc FROM cells) GROUP BY least), tp AS (SELECT least, sum(np * (np - 1) // 2) AS tp FROM (SELECT DISTINCT least, person, np FROM cells) GROUP BY least), pf AS (SELECT least, CASE WHEN pp > 0 THEN hits / pp ELSE 0 END AS p, CASE WHEN tp > 0 THEN hits / tp ELSE 0 END AS r FROM b JOIN pp USING (least) JOIN tp USING (least)), sz AS (SELECT least, count(*) AS faces, count(DISTINCT c) AS clusters, count(*) FILTER (WHERE c IS NULL) AS lone FROM g GROUP BY least), lg AS (SELECT least, max(k) AS largest FROM (SELECT least, count(*) AS k FROM g WHERE c IS NOT NULL GROUP BY least, c) GROUP BY least) "
     f"SELECT least, faces, clusters, lone, coalesce(largest, 1) AS largest, CAST(n_scored AS BIGINT) AS n_scored, {_MI('b.p')} AS b3_precision, {_MI('b.r')} AS b3_recall, {_MI('CASE WHEN b.p + b.r > 0 THEN 2 * b.p * b.r / (b.p + b.r) ELSE 0 END')} AS b3_f1, {_MI('CASE WHEN pf.p + pf.r > 0 THEN 2 * pf.p * pf.r / (pf.p + pf.r) ELSE 0 END')} AS pairwise_f1 FROM sz LEFT JOIN b USING (least) LEFT JOIN pf USING (least) LEFT JOIN lg USING (least)",
+    "largest_pile_verdict": _VECTORS + _GROUPS + f", lp AS (SELECT least, c, row_number() OVER (PARTITION BY least ORDER BY count(*) DESC, c) AS r FROM g WHERE c IS NOT NULL GROUP BY least, c), hd AS (SELECT g.least, g.face_id FROM g JOIN lp ON lp.least = g.least AND lp.c = g.c WHERE r = 1), co AS (SELECT face_id FROM hd WHERE least = (SELECT max(least) FROM hd)), pe AS (SELECT quantile_cont(interocular_px, 0.5) AS m FROM cur_faces WHERE id IN (SELECT id FROM fv)) SELECT least, faces, people, CASE WHEN people >= 2 THEN 'welded' WHEN people = 1 THEN 'person' WHEN eye < 0.6 * m THEN 'junk' ELSE 'unknown' END AS verdict, {_MI('n / (SELECT count(*) FROM co)')} AS core FROM (SELECT hd.least, count(*) AS faces, count(DISTINCT truth.person) AS people, quantile_cont(interocular_px, 0.5) AS eye, count(co.face_id) AS n FROM hd LEFT JOIN truth USING (face_id) LEFT JOIN cur_faces ON cur_faces.id = hd.face_id LEFT JOIN co ON co.face_id = hd.face_id GROUP BY hd.least), pe",
     "experiment_slices": _VECTORS + _GROUPS + f", rows AS (SELECT truth.person, coalesce(g.c::VARCHAR, 'lone ' || g.face_id) AS cluster, occlusion AS slice FROM truth JOIN g USING (face_id) JOIN (SELECT face_id, occlusion FROM cur_gold WHERE occlusion IS NOT NULL) USING (face_id) WHERE g.least = 0.51), k AS (SELECT *, count(*) OVER (PARTITION BY person, cluster) AS n, count(*) OVER (PARTITION BY person) AS a, count(*) OVER (PARTITION BY cluster) AS b FROM rows) SELECT slice, faces, {_MI('p')} AS precision, {_MI('r')} AS recall, {_MI(_F1)} AS f1 FROM (SELECT slice, count(*) AS faces, avg(n / b) AS p, avg(n / a) AS r FROM k GROUP BY slice) WHERE faces >= 10",
     "merge_queue": _VECTORS + _OWN + _PEOPLE + f" SELECT person_id, pile_id, sim, open, row_number() OVER (ORDER BY sim DESC, person_id, pile_id) AS place FROM (SELECT p.id AS person_id, c.id AS pile_id, {_MI('list_dot_product(p.v, c.v)')} AS sim, open FROM people p, centres c JOIN op ON op.pile_id = c.id WHERE list_dot_product(p.v, c.v) >= {FLOOR} AND NOT EXISTS (SELECT 1 FROM own WHERE own.pile_id = c.id AND own.person_id = p.id) AND NOT EXISTS (SELECT 1 FROM doubt WHERE doubt.pile_id = c.id AND doubt.person_id = p.id))",
     "merge_cut": _VECTORS + _OWN + f", kn AS (SELECT own.pile_id, person_id, v FROM own JOIN centres ON id = pile_id WHERE share >= {PURE}), t(cut) AS (VALUES {', '.join(f'({c}::DOUBLE)' for c in CUTS)}), ps AS (SELECT a.person_id = b.person_id AS ok, list_dot_product(a.v, b.v) AS sim FROM kn a JOIN kn b ON a.pile_id < b.pile_id), po AS (SELECT coalesce(sum(k * (k - 1) // 2), 0) AS possible FROM (SELECT count(*) AS k FROM kn GROUP BY person_id)), r AS (SELECT cut, count(*) AS questions, count(*) FILTER (WHERE ok) AS merges FROM ps, t WHERE sim >= cut GROUP BY cut), m AS (SELECT cut, questions, merges, {_MI('merges / questions')} AS precision, {_MI('CASE WHEN possible > 0 THEN merges / possible ELSE 0 END')} AS recall FROM r, po) SELECT *, coalesce(cut = (SELECT cut FROM m WHERE merges > 0 ORDER BY precision DESC, cut DESC LIMIT 1), false) AS cheapest FROM m",

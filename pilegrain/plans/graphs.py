@@ -101,6 +101,22 @@ def cross_group_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(v.where(F.col("id") <= half), v.where(F.col("id") > half), 1).select("src", "dst", micro(F.col("sim")).alias("sim"))
 
 
+POOLS, MARKS = [1, 2, 4, 8], [0.20, 0.25, 0.30, 0.35, 0.40, 0.45, 0.50]
+
+
+def cross_group_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of the lower half of ids have a neighbour at each cosine in an eighth, a quarter, half and all of the upper half: what chance alone supplies with the size of the pool."""
+    v = _vectors(spark, sf_dir)
+    half = v.agg(F.expr("max(id) div 2").alias("h")).first()["h"] or 0
+    low, high = cut(v.where(F.col("id") <= half)), cut(v.where(F.col("id") > half))
+    rows = None
+    for k in POOLS:
+        best = vectors.nearest(low, high.where(F.col("id") % 8 < k), 1)
+        one = best.select(F.lit(k).alias("eighths"), F.explode(F.array(*[F.struct(F.lit(t).alias("least"), (F.col("sim") >= t).alias("met")) for t in MARKS])).alias("m")).groupBy("eighths", "m.least").agg(F.count_if("m.met").alias("rows_met"), F.count("*").alias("rows"))
+        rows = one if rows is None else rows.union(one)
+    return rows
+
+
 def vector_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage and soundness of each model's vectors."""
     rows = table(spark, sf_dir, "face_embeddings").where("model IS NOT NULL")
@@ -128,7 +144,7 @@ def density_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.group(_vectors(spark, sf_dir), "density").select("id", "label", F.round("probability", 4).alias("probability"))
 
 
-QUERIES = {f.__name__: f for f in (edges_similarity, knn_topk, piles_components, pile_sizes, sweep_thresholds, weld_point, tightness_bands, pile_index, merge_pairs, cross_group_best, vector_checks, model_parity, chinese_whispers, average_linkage, density_groups)}
+QUERIES = {f.__name__: f for f in (edges_similarity, knn_topk, piles_components, pile_sizes, sweep_thresholds, weld_point, tightness_bands, pile_index, merge_pairs, cross_group_best, cross_group_supply, vector_checks, model_parity, chinese_whispers, average_linkage, density_groups)}
 
 _V = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"
 _E = f"WITH RECURSIVE {_V}, e AS (SELECT a.id AS src, b.id AS dst, list_dot_product(a.v, b.v) AS sim FROM v a JOIN v b ON a.id < b.id WHERE list_dot_product(a.v, b.v) >= {LEAST})"
@@ -150,5 +166,6 @@ ORACLE = {
     "pile_index": _PILES + _SUMS + f" SELECT pile_id, faces, coherence, {_MI('log10(faces + 1) * least(coherence / 1e6, 1.0)')} AS score FROM (SELECT label AS pile_id, n AS faces, {_MI('sqrt(sq) / n')} AS coherence FROM sums)",
     "merge_pairs": _PILES + _SUMS + _CENTRES + f" SELECT person, pile_id, place, {_MI('sim')} AS sim FROM (SELECT p3.id AS person, c2.id AS pile_id, list_dot_product(p3.v, c2.v) AS sim, row_number() OVER (PARTITION BY p3.id ORDER BY list_dot_product(p3.v, c2.v) DESC, c2.id) AS place FROM p3, c2) WHERE place <= 3 AND sim >= 0.1",
     "cross_group_best": f"WITH {_V}, h AS (SELECT max(id) // 2 AS h FROM v) SELECT src, dst, {_MI('sim')} AS sim FROM (SELECT a.id AS src, b.id AS dst, list_dot_product(a.v, b.v) AS sim, row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.v, b.v) DESC, b.id) AS place FROM v a, v b, h WHERE a.id <= h AND b.id > h) WHERE place = 1",
+    "cross_group_supply": f"WITH {_V}, h AS (SELECT max(id) // 2 AS h FROM v), k(eighths) AS (VALUES {', '.join(f'({k})' for k in POOLS)}), t(least) AS (VALUES {', '.join(f'({t}::DOUBLE)' for t in MARKS)}), b AS (SELECT k.eighths, a.id, max(list_dot_product(a.v, c.v)) AS sim FROM v a, v c, h, k WHERE a.id <= h AND c.id > h AND c.id % 8 < k.eighths GROUP BY ALL) SELECT eighths, least, count(*) FILTER (WHERE sim >= least) AS rows_met, count(*) AS rows FROM b, t GROUP BY ALL",
     "vector_checks": f"SELECT model, count(*) AS rows, count(DISTINCT face_id) AS faces, count(DISTINCT embed_version) AS versions, count(DISTINCT platform) AS platforms, count(*) FILTER (WHERE g) AS usable, count(*) FILTER (WHERE g AND abs(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) > 0.05) AS not_unit, count(*) FILTER (WHERE embedding IS NULL) AS missing FROM (SELECT *, coalesce({_GOOD}, false) AS g FROM face_embeddings WHERE model IS NOT NULL) GROUP BY model",
 }

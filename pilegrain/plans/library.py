@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pilegrain.functions import dates, files
 from pilegrain.operators.dedup import canonical, two_stage
+from pilegrain.operators.scalars import side_by_side
 from pilegrain.sources import views
 from pilegrain.sources.scan import awaiting, unseen
 from pilegrain.sources.tables import table
@@ -55,7 +56,8 @@ def corpus_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.photos(spark, sf_dir, "kind", "taken_at", "camera_make", "camera_model")
     use = F.col("kind").isin(files.WITH_FACES)
     one = rows.agg(F.count_if(use).alias("candidates"), F.count_if(use & _year().isNull()).alias("undated"), F.countDistinct(F.when(use, _year())).alias("years"), F.countDistinct(F.when(use, F.concat_ws(" ", "camera_make", "camera_model"))).alias("cameras"), F.count_if(F.col("kind") == "unreadable").alias("unreadable"), F.count_if(F.col("kind") == "raw").alias("raw"), F.count_if(F.col("kind") == "archive").alias("archives"))
-    return one.select("*", (F.col("undated") > F.col("candidates") * 0.25).alias("mostly_undated"), (F.col("years") < 3).alias("few_years"), (F.col("cameras") <= 1).alias("one_camera"))
+    both = side_by_side(one, date_disagreement(spark, sf_dir))
+    return both.select("*", (F.col("undated") > F.col("candidates") * 0.25).alias("mostly_undated"), (F.col("years") < 3).alias("few_years"), (F.col("cameras") <= 1).alias("one_camera"), *[(F.col(c) > 0).alias(f"has_{c}") for c in ("unreadable", "raw", "archives")], (F.col("disagreements") > F.col("comparable") * 0.1).alias("dates_disagree"))
 
 
 def reject_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +174,7 @@ ORACLE = {
     "date_provenance": _P + "SELECT coalesce(taken_at_source, '(none)') AS source, count(*) AS photos, count(*) / sum(count(*)) OVER () AS share FROM cur_photos GROUP BY 1",
     "camera_top": _P + "SELECT trim(concat_ws(' ', camera_make, camera_model)) AS camera, count(*) AS photos FROM cur_photos WHERE camera_make IS NOT NULL OR camera_model IS NOT NULL GROUP BY 1 ORDER BY photos DESC, camera LIMIT 15",
     "folder_dated": _P + f"SELECT regexp_replace(rel_path, '/[^/]*$', '') AS folder, count(*) AS photos, count({_YEAR}) AS dated, count(*) - count({_YEAR}) AS undated FROM cur_photos GROUP BY 1 ORDER BY photos DESC, folder LIMIT 40",
-    "corpus_warnings": _P + f"SELECT candidates, undated, years, cameras, unreadable, raw, archives, undated > candidates * 0.25 AS mostly_undated, years < 3 AS few_years, cameras <= 1 AS one_camera FROM (SELECT count(*) FILTER (WHERE u) AS candidates, count(*) FILTER (WHERE u AND y IS NULL) AS undated, count(DISTINCT y) FILTER (WHERE u) AS years, count(DISTINCT concat_ws(' ', camera_make, camera_model)) FILTER (WHERE u) AS cameras, count(*) FILTER (WHERE kind = 'unreadable') AS unreadable, count(*) FILTER (WHERE kind = 'raw') AS raw, count(*) FILTER (WHERE kind = 'archive') AS archives FROM (SELECT *, kind IN ('photo', 'forwarded') AS u, {_YEAR} AS y FROM cur_photos))",
+    "corpus_warnings": sql_with("cur_photos", more=_NAMED).rstrip() + f", dd AS (SELECT count(*) FILTER (WHERE abs(floor((epoch(a) - epoch(name_at)) / 86400)) > 7) AS disagreements, count(*) AS comparable FROM (SELECT name_at, {_EXIF.format(c='taken_at')} AS a FROM by_name WHERE taken_at_source IN ('exif_original', 'exif_digitized')) WHERE a IS NOT NULL AND name_at IS NOT NULL) " + f"SELECT candidates, undated, years, cameras, unreadable, raw, archives, disagreements, comparable, unreadable > 0 AS has_unreadable, raw > 0 AS has_raw, archives > 0 AS has_archives, disagreements > comparable * 0.1 AS dates_disagree, undated > candidates * 0.25 AS mostly_undated, years < 3 AS few_years, cameras <= 1 AS one_camera FROM (SELECT count(*) FILTER (WHERE u) AS candidates, count(*) FILTER (WHERE u AND y IS NULL) AS undated, count(DISTINCT y) FILTER (WHERE u) AS years, count(DISTINCT concat_ws(' ', camera_make, camera_model)) FILTER (WHERE u) AS cameras, count(*) FILTER (WHERE kind = 'unreadable') AS unreadable, count(*) FILTER (WHERE kind = 'raw') AS raw, count(*) FILTER (WHERE kind = 'archive') AS archives FROM (SELECT *, kind IN ('photo', 'forwarded') AS u, {_YEAR} AS y FROM cur_photos)), dd",
     "reject_extensions": _P + f"SELECT kind, {_EXT} AS extension, count(*) AS files FROM cur_photos WHERE kind NOT IN ('photo', 'forwarded') GROUP BY 1, 2",
     "path_inspection": _P + f"SELECT kind, count(*) AS files, count({_YEAR}) AS dated, min(path) AS first_path FROM cur_photos WHERE path ILIKE '%backup%' GROUP BY kind",
     "classify_files": _P + rf"""SELECT id, CASE WHEN {_EXT} IN {_IN(files.VIDEO)} THEN 'video' WHEN {_EXT} IN {_IN(files.AUDIO)} THEN 'audio' WHEN {_EXT} IN {_IN(files.ARCHIVE)} THEN 'archive' WHEN {_EXT} IN {_IN(files.RAW)} THEN 'raw' WHEN {_EXT} NOT IN {_IN(files.IMAGE)} THEN 'unsupported'

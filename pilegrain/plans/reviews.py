@@ -42,7 +42,9 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def people_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.people_counts(_now(spark, sf_dir))
+    """Everyone ever decided with the faces held now, also none, and the clearest of them."""
+    log = views.decisions(spark, sf_dir)
+    return review.people_counts(review.state(log), log.where("kind = 'person' AND person_id IS NOT NULL"), _faces(spark, sf_dir))
 
 
 def search_people(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,7 +248,7 @@ ORACLE = {
     "latest_decision": _STATE + "SELECT * FROM now",
     "undo_state": sql_with("log", more="kept AS (SELECT * FROM log WHERE date_trunc('hour', at_time) < (SELECT max(date_trunc('hour', at_time)) FROM log)), " + _NOW.replace("FROM log)", "FROM kept)")) + "SELECT * FROM now",
     "progress": _POOLED + "SELECT (SELECT count(*) FROM members) AS faces_total, count(*) FILTER (WHERE kind <> 'unassigned') AS faces_decided, count(DISTINCT CASE WHEN kind = 'person' THEN person_id END) AS people_known FROM now",
-    "people_counts": _STATE + "SELECT person_id, count(*) AS faces, min(face_id) AS sample FROM now WHERE kind = 'person' AND person_id IS NOT NULL GROUP BY person_id",
+    "people_counts": sql_with("log", "cur_faces", more=_NOW + ", " + _FACE) + "SELECT p.person_id, count(n.face_id) AS faces, arg_max(n.face_id, n.place) AS sample FROM (SELECT DISTINCT person_id FROM log WHERE kind = 'person' AND person_id IS NOT NULL) p LEFT JOIN (SELECT person_id, face_id, -row_number() OVER (ORDER BY coalesce(interocular_px, 0) DESC, face_id) AS place FROM now LEFT JOIN f USING (face_id) WHERE kind = 'person') n USING (person_id) GROUP BY p.person_id",
     "search_people": _STATE + "SELECT person_id, count(*) AS faces, min(face_id) AS sample FROM now WHERE kind = 'person' AND contains(lower(person_id), '12') GROUP BY person_id ORDER BY faces DESC, person_id LIMIT 40",
     "pile_attribution": _POOLED + "SELECT pile_id, kind, person_id, count(*) AS faces FROM members JOIN now USING (face_id) WHERE pile_id <> -1 GROUP BY ALL",
     "open_per_pile": sql_with("log", "cur_pool", more=_NOW + ", " + _MEM + ", " + _OPEN) + "SELECT pile_id, count(*) AS open FROM op GROUP BY pile_id",

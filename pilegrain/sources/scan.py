@@ -40,11 +40,43 @@ def upsert(old: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:
     return old.join(new.select(*on).distinct(), on, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def upsert_photos(old: DataFrame, new: DataFrame, on: str = "path") -> DataFrame:
+    """Photos after a scan: a file scanned again loses what was told from its old content, the full hash and the copy it was."""
+    fresh = new
+    for name in ("content_hash", "duplicate_of"):
+        if name in new.columns or name in old.columns:
+            kind = (new if name in new.columns else old).schema[name].dataType
+            fresh = fresh.withColumn(name, F.lit(None).cast(kind))
+    return upsert(old, fresh, [on])
+
+
+def mark_done(status: DataFrame, items: DataFrame, key: str, version: str, fault: str | None = None) -> DataFrame:
+    """Status rows (key, version, fault) after items were worked on: one per key and version, so an item without any result is not pending for ever."""
+    new = items.select(F.col(key), F.lit(version).alias("version"), F.lit(fault).cast("string").alias("fault")).distinct()
+    return upsert(status, new, [key, "version"])
+
+
+def pending(items: DataFrame, status: DataFrame, key: str, version: str) -> DataFrame:
+    """Items without a status row of this version."""
+    return awaiting(items, status.where(F.col("version") == version), [key])
+
+
 def replace_groups(old: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
     """old with every group that new speaks of replaced as a whole, as with all detections of a photo."""
     return upsert(old, new, by)
 
 
+def point_to(spark: SparkSession, root: str, version: int) -> None:
+    """Name the live version: one row written beside the versions, the newest of which counts."""
+    spark.createDataFrame([(version,)], "version int").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/live")
+
+
+def live(spark: SparkSession, root: str) -> DataFrame:
+    """The table of the version that was named last."""
+    newest = spark.read.parquet(f"{root}/live").orderBy(F.desc("at"), F.desc("version")).first()["version"]
+    return spark.read.parquet(f"{root}/v{newest:06d}")
+
+
 def save_version(df: DataFrame, root: str, version: int, *by: str) -> str:
     """Write a version directory; readers switch to it by name."""
     to = f"{root}/v{version:06d}"
