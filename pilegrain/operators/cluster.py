@@ -6,6 +6,7 @@ component is its own task; hdbscan needs the whole table in one task and refuses
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -75,22 +76,30 @@ def by_linkage(vectors: DataFrame, graph: DataFrame, distance: float = 0.8, **_)
         edges = edges.sort_values(["src", "dst"])
         ids, flat = np.unique(np.concatenate([edges.src, edges.dst]), return_inverse=True)
         links: list[dict[int, float]] = [{} for _ in ids]
-        for i, j, x in zip(flat[: len(edges)], flat[len(edges) :], edges.sim, strict=True):
-            links[i][j] = links[j][i] = float(x)
-        size, label = np.ones(len(ids)), np.arange(len(ids))
-        while True:
-            best = min(((1 - s / (size[i] * size[j]), i, j) for i in range(len(ids)) for j, s in links[i].items() if i < j), default=None)
-            if best is None or best[0] >= distance:
-                return _named(ids, label)
-            _, i, j = best
+        for i, j, x in zip(flat[: len(edges)].tolist(), flat[len(edges) :].tolist(), edges.sim.tolist(), strict=True):
+            links[i][j] = links[j][i] = x
+        size, into = [1] * len(ids), list(range(len(ids)))
+        apart = lambda i, j: 1 - links[i][j] / (size[i] * size[j])
+        heap = [(apart(i, j), i, j) for i in range(len(ids)) for j in links[i] if i < j]
+        heapq.heapify(heap)
+        while heap:
+            d, i, j = heapq.heappop(heap)
+            if d >= distance:
+                break
+            if j not in links[i] or apart(i, j) != d:  # merged or changed since; what holds now is in the heap as well
+                continue
             for k, s in links[j].items():
                 if k != i:
                     links[i][k] = links[k][i] = links[i].get(k, 0.0) + s
                 links[k].pop(j, None)
             links[j] = {}
-            links[i].pop(j, None)
             size[i] += size[j]
-            label[label == j] = i
+            into[j] = i
+            for k in links[i]:
+                heapq.heappush(heap, (apart(i, k), i, k) if i < k else (apart(k, i), k, i))
+        for i in range(len(ids)):  # a group is merged into a smaller one, so one pass upwards resolves all
+            into[i] = into[into[i]]
+        return _named(ids, np.array(into))
 
     return _per_component(vectors, graph, run)
 

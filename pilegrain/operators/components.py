@@ -112,3 +112,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", vertex: str = "vert
             return forest.select(F.col("v").alias(vertex), F.col("u").alias(label)).union(forest.select(F.col("u").alias(vertex), F.col("u").alias(label)).distinct())
         seen = now
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def nested_components(graph: DataFrame, cuts: list[float], src: str = "src", dst: str = "dst", sim: str = "sim") -> Iterator[tuple[float, DataFrame]]:
+    """(cut, (vertex, component)) of the edges at or above each cut, the strictest first: each starts from the components of the one before and adds only the edges between the two cuts."""
+    held: DataFrame | None = None
+    above: float | None = None
+    for t in sorted(set(cuts), reverse=True):
+        between = graph.where(F.col(sim) >= t) if above is None else graph.where((F.col(sim) >= t) & (F.col(sim) < above))
+        edges = between.select(F.col(src).alias("a"), F.col(dst).alias("b"))
+        if held is not None:
+            edges = edges.union(held.select(F.col("vertex").alias("a"), F.col("component").alias("b")))
+        held, above = cut(components(edges)), t
+        yield t, held

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pilegrain.operators import cluster, vectors
-from pilegrain.operators.components import components
+from pilegrain.operators.components import nested_components
 from pilegrain.plans.scores import micro
 from pilegrain.session import cut
 from pilegrain.sources.tables import table
@@ -48,8 +48,8 @@ def sweep_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = cut(vectors.edges(v, min(CUTS)))
     n = v.count()
     rows = None
-    for t in CUTS:
-        sizes = components(graph.where(F.col("sim") >= t), "src", "dst").groupBy("component").agg(F.count("*").alias("size"))
+    for t, groups in nested_components(graph, CUTS):
+        sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
         one = sizes.agg(F.lit(t).alias("least"), F.count("*").alias("piles"), F.count_if(F.col("size") >= 5).alias("piles5"), F.coalesce(F.sum("size"), F.lit(0)).alias("grouped"), F.coalesce(F.max("size"), F.lit(1)).alias("largest"))
         rows = one if rows is None else rows.union(one)
     grown = F.lag("largest").over(Window.orderBy(F.desc("least")))

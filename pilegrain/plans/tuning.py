@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pilegrain.operators import review, vectors
-from pilegrain.operators.components import components
+from pilegrain.operators.components import nested_components
 from pilegrain.operators.ranking import global_rank
 from pilegrain.operators.sampling import SEED, random_order
 from pilegrain.operators.scalars import with_scalars
@@ -69,13 +69,13 @@ def era_piles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _people(spark: SparkSession, sf_dir: str, share: int = 2) -> DataFrame:
-    """(id, v): mean direction of each label over the rows that count as labelled."""
+    """(id, v): mean direction of each label over the rows that count as labelled: in the table of test vectors those with an even id."""
     rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % share == 0).select(F.col("label").cast("long").alias("person"), F.col("embedding").cast("array<double>").alias("v"))
     return vectors.group_sums(rows, "person", "v", DIM).select(F.col("person").alias("id"), vectors.unit(F.transform("s", lambda x: x / 1e6)).alias("v"))
 
 
 def topup_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten unlabelled rows nearest to each person, above a floor."""
+    """The ten unlabelled rows nearest to each person, above a floor. In the table of test vectors every row has a label; rows with an odd id stand for unlabelled ones."""
     rest = _vectors(spark, sf_dir).where("id % 2 = 1")
     return vectors.nearest(_people(spark, sf_dir), rest, 10, 0.1).select(F.col("src").alias("person"), F.col("dst").alias("id"), "place", micro(F.col("sim")).alias("sim"))
 
@@ -90,11 +90,12 @@ def merge_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def random_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosines of a fixed random partner for every row: the level that chance reaches."""
+    """Cosines of a fixed random partner for every row, by its place among the ids: the level that chance reaches."""
     v = _vectors(spark, sf_dir)
-    n = v.agg(F.max("id").alias("m"))
-    partner = F.pmod(F.col("id") * 7919 + 104_729, F.col("m") + 1)
-    pairs = with_scalars(v.select("id"), n).select(F.col("id").alias("src"), partner.alias("dst")).where("src <> dst")
+    placed = cut(global_rank(v.select("id"), [F.asc("id")]))
+    partner = F.pmod(F.col("rank") * 7919 + 104_729, F.col("m")) + 1
+    asked = with_scalars(placed, placed.agg(F.max("rank").alias("m"))).select(F.col("id").alias("src"), partner.alias("rank"))
+    pairs = asked.join(placed.select(F.col("id").alias("dst"), "rank"), "rank").select("src", "dst").where("src <> dst")
     sims = vectors.with_cosine(pairs, v, v).select(micro(F.col("sim")).alias("sim"))
     return sims.agg(F.count("*").alias("pairs"), F.sum("sim").alias("sum"), F.percentile("sim", 0.95).cast("long").alias("p95"))
 
@@ -104,8 +105,8 @@ def biggest_pile(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = cut(vectors.edges(_vectors(spark, sf_dir), min(CUTS)))
     known = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vertex"), "label")
     rows = None
-    for t in CUTS:
-        groups = components(graph.where(F.col("sim") >= t), "src", "dst").join(known, "vertex")
+    for t, groups in nested_components(graph, CUTS):
+        groups = groups.join(known, "vertex")
         one = groups.groupBy("component").agg(F.count("*").alias("faces"), F.countDistinct("label").alias("people")).orderBy(F.desc("faces"), "component").limit(1).select(F.lit(t).alias("least"), "component", "faces", "people")
         rows = one if rows is None else rows.union(one)
     return rows
@@ -152,7 +153,7 @@ ORACLE = {
     "era_piles": _LEFT + "SELECT cluster_id, count(*) AS faces, count(*) FILTER (WHERE substr(day, 1, 4) BETWEEN '1900' AND '2011') AS early FROM lf WHERE cluster_id <> -1 GROUP BY cluster_id HAVING faces >= 2 AND early >= 2 AND early * 2 >= faces ORDER BY faces DESC, cluster_id LIMIT 20",
     "topup_candidates": f"WITH {_V}, {_PEOPLE} SELECT person, id, place, {_MI('sim')} AS sim FROM (SELECT p.id AS person, v.id, list_dot_product(p.v, v.v) AS sim, row_number() OVER (PARTITION BY p.id ORDER BY list_dot_product(p.v, v.v) DESC, v.id) AS place FROM people p, v WHERE v.id % 2 = 1 AND list_dot_product(p.v, v.v) >= 0.1) WHERE place <= 10",
     "merge_tuning": f"WITH {_V}, {_PEOPLE}, t(cut) AS (VALUES {', '.join(f'({c}::DOUBLE)' for c in MERGE_CUTS)}) SELECT cut, count(*) AS suggested, count(*) FILTER (WHERE p.id = truth) AS hits, {_MI('count(*) FILTER (WHERE p.id = truth) / count(*)')} AS precision, {_MI('count(*) FILTER (WHERE p.id = truth) / (SELECT count(*) FROM v)')} AS recall FROM people p, v, t WHERE list_dot_product(p.v, v.v) >= cut GROUP BY cut",
-    "random_pairs": f"WITH {_V}, m AS (SELECT max(id) AS m FROM v), s AS (SELECT {_MI('list_dot_product(a.v, b.v)')} AS sim FROM v a, m JOIN v b ON b.id = (a.id * 7919 + 104729) % (m + 1) WHERE a.id <> b.id) SELECT count(*) AS pairs, CAST(sum(sim) AS BIGINT) AS sum, CAST(trunc(quantile_cont(sim, 0.95)) AS BIGINT) AS p95 FROM s",
+    "random_pairs": f"WITH {_V}, r AS (SELECT *, row_number() OVER (ORDER BY id) AS k FROM v), m AS (SELECT count(*) AS m FROM v), s AS (SELECT {_MI('list_dot_product(a.v, b.v)')} AS sim FROM r a, m JOIN r b ON b.k = (a.k * 7919 + 104729) % m + 1 WHERE a.id <> b.id) SELECT count(*) AS pairs, CAST(sum(sim) AS BIGINT) AS sum, CAST(trunc(quantile_cont(sim, 0.95)) AS BIGINT) AS p95 FROM s",
     "biggest_pile": _SWEEP + "SELECT least, component, faces, people FROM (SELECT least, c AS component, count(*) AS faces, count(DISTINCT label) AS people, row_number() OVER (PARTITION BY least ORDER BY count(*) DESC, c) AS r FROM comp JOIN embeddings ON vec_id = comp.v GROUP BY least, c) WHERE r = 1",
     "preflight_checks": sql_with("cur_gold", more=f"e AS (SELECT count(DISTINCT model) AS models, count(*) FILTER (WHERE NOT coalesce({_GOOD}, false)) AS dead, count(*) AS n FROM face_embeddings WHERE model IS NOT NULL), g AS (SELECT count(DISTINCT CASE WHEN label = 'person' THEN person_id END) AS people, count(*) FILTER (WHERE label = 'person' AND person_id IS NULL) AS unnamed, count(*) FILTER (WHERE face_id NOT IN (SELECT id FROM faces WHERE id IS NOT NULL)) AS orphans FROM cur_gold)") + "SELECT 'one model' AS check, models = 1 AS good, models AS figure FROM e UNION ALL SELECT 'few dead vectors', dead * 20 <= n, dead FROM e UNION ALL SELECT 'enough people', people >= 25, people FROM g UNION ALL SELECT 'all people named', unnamed = 0, unnamed FROM g UNION ALL SELECT 'labels have faces', orphans = 0, orphans FROM g",
     "refused_merges": sql_with("log", "cur_pool", more=_NOW) + "SELECT person_id, pile_id, count(*) AS faces FROM members JOIN now USING (face_id) WHERE kind = 'person' AND person_id IS NOT NULL AND pile_id IN (SELECT pile_id FROM members LEFT JOIN now USING (face_id) WHERE kind IS NULL OR kind = 'unassigned') AND pile_id NOT IN (SELECT pile_id FROM members JOIN now USING (face_id) WHERE kind = 'junk') GROUP BY ALL",
