@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pilegrain.operators.ranking import global_rank
 from pilegrain.operators.scalars import with_scalars
+from pilegrain.session import cut
 
 #: Dimensions, their categories and default shares.
 TARGETS: dict[str, dict[str, float]] = {
@@ -52,8 +53,10 @@ def strata(faces: DataFrame, beauty_marker: str = "beauty") -> DataFrame:
     faces: face_id, interocular_px, yaw_deg, blur, det_score, dark_fraction, bright_fraction, kind, path, year, day, cluster_id, n_faces.
     """
     c = F.col
-    ranked = unit_rank(faces, F.coalesce(c("blur"), F.lit(0.0)).asc(), "face_id", "_blur")
-    ranked = unit_rank(ranked, c("det_score").asc(), "face_id", "_score")
+    faces = cut(faces)
+    ranked = faces
+    for value, name in ((F.coalesce(c("blur"), F.lit(0.0)), "_blur"), (c("det_score"), "_score")):  # only the value and the key are sorted
+        ranked = ranked.join(unit_rank(faces.select("face_id", value.alias("_v")), c("_v").asc(), "face_id", name).select("face_id", name), "face_id")
     exposure = F.least(F.greatest(F.coalesce("dark_fraction", F.lit(0.0)) + F.coalesce("bright_fraction", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     quality = F.lit(0.45) * c("_blur") + F.lit(0.45) * c("_score") + F.lit(0.10) * (F.lit(1.0) - exposure)
     era = F.when(c("year").isNull(), "undated").when(c("year") >= c("recent_from"), "recent").when(c("year") <= c("oldest_to"), "oldest").otherwise("middle")
