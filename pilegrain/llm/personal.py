@@ -76,8 +76,20 @@ _LOCAL = r"[A-Za-z0-9À-ɏ](?:[A-Za-z0-9À-ɏ._%+\-]*[A-Za-z0-9À-ɏ_+\-])?"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
 MAIL = re.compile(rf"(?<![A-Za-zÀ-ɏ0-9_@.+])({_LOCAL})@({_LABEL}(?:\.{_LABEL})+)(?![A-Za-zÀ-ɏ0-9_@])")
 AROUND = re.compile(rf"(?<![A-Za-zÀ-ɏ0-9_@.+])({_LOCAL})(?: ?@ ?| ?[\[({{] ?at ?[\])}}] ?| at )({_LABEL}(?:(?:\.| ?[\[({{] ?dot ?[\])}}] ?| dot ){_LABEL})+)(?![A-Za-zÀ-ɏ0-9_@])", re.I)
-#: What a text must hold for AROUND to be worth trying: an at sign or word, and a dot within a word or the word for one.
-_AT, _DOTTED = re.compile(r"@|(?<![a-z0-9])at(?![a-z0-9])", re.I), re.compile(r"[a-z0-9]\.[a-z0-9]|dot", re.I)
+#: The sign or word between name and host with the first dot of the host: only around these AROUND is tried.
+_SEPARATED = re.compile(rf"(?: ?@ ?| ?[\[({{] ?at ?[\])}}] ?| at ){_LABEL}(?:\.| ?[\[({{] ?dot ?[\])}}] ?| dot ){_LABEL}", re.I)
+
+
+def _written_around(plain: str) -> Iterator[re.Match]:
+    """All matches of AROUND. A name holds no blank, so it begins after the last one before the sign."""
+    end = 0
+    for m in _SEPARATED.finditer(plain):
+        start = max(end, max(plain.rfind(c, 0, m.start()) for c in " \t\n\r") + 1)
+        if m.start() >= end and (found := AROUND.search(plain, start, m.start() + 1000)) and found.start() <= m.start():
+            end = found.end()
+            yield found
+
+
 _DOT = re.compile(r" ?[\[({] ?dot ?[\])}] ?| dot ", re.I)
 
 #: Number-like candidates. Their shape, not their form here, decides what they are.
@@ -87,6 +99,21 @@ NUMBER = re.compile(
     r"|(?P<id>\d{3}([ \-])\d{2}\5\d{4}|\d{9}(?!\d)|[A-Z]{1,2}[ ]?\d{3}[ ]?\d{4,5}|[A-Za-z]{1,2}\d{6,9}[A-Za-z]?|[A-Za-z]{2}[ ]?\d{2}[ ]?\d{2}[ ]?\d{2}[ ]?[A-Za-z]|[A-Za-z]{2}-\d{6}-[A-Za-z]|\d \d{2} \d{2} \d{2} \d{3} \d{3} \d{2}|\d{15}|\d{2}\.\d{3}\.\d{3}-?[A-Za-z]|\d{8}-?[A-Za-z]|[A-Za-z]-?\d{7}-?[A-Za-z]|\d{2} \d{3} \d{3} \d{3}|\d{11,12}|\d{4}([ \-])\d{4}\6\d{4})"
     r")(?![A-Za-zÀ-ɏ\d_+]|[/\-.]\d)"
 )
+#: Four digits with at most two signs between any two: a candidate has at least so many, so only these places are tried.
+_FIGURES = re.compile(r"\d(?:[ .\-/()]{0,2}\d){3,}")
+
+
+def _numberlike(plain: str) -> Iterator[re.Match]:
+    """All matches of NUMBER, sought only around figures."""
+    end = 0
+    for m in _FIGURES.finditer(plain):
+        if m.end() > end:
+            for n in NUMBER.finditer(plain, max(end, m.start() - 5), m.end() + 8):
+                if n.start() < m.end():  # else it belongs to the next figures and may be cut off here
+                    end = n.end()
+                    yield n
+
+
 _LABEL_AT_END = re.compile(rf"(?:^|(?<=[^\p{{L}}\d]))(?:{LABELS})(?:[ ]?(?:[:#=]|は))?[ ]*(?:\p{{L}}{{2,4}} )?$", re.I)
 
 _CAP = r"\p{Lu}[\p{L}\p{M}'’]+"
@@ -231,7 +258,7 @@ def _shape(value: str, kind: str) -> str:
 
 def numbers(text: str) -> Iterator[tuple[int, int, str, tuple[str, str, str], str]]:
     """(start, end, shape, patterns, seed type or empty) of number-like strings; text has plain digits."""
-    for m in NUMBER.finditer(text):
+    for m in _numberlike(text):
         i, j = m.span()
         left = text[max(0, i - 40) : i]
         before = tokens_of(left.rsplit("\n", 1)[-1])[-2:]
@@ -429,7 +456,7 @@ class Tagger:
             if m.group(2).rsplit(".", 1)[-1].casefold() not in NOT_HOSTS:
                 ends = m.end()
                 yield m.span()
-        for m in AROUND.finditer(plain) if _AT.search(plain) and _DOTTED.search(plain) else ():
+        for m in _written_around(plain):
             host = _DOT.sub(".", m.group(2)).casefold()
             while host and host not in self.learnt["host"]:
                 host = host.rpartition(".")[0]
