@@ -74,11 +74,11 @@ def _shrink(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return v[keep], u[keep]
 
 
-def beside(rows: DataFrame, key: str, told: DataFrame) -> DataFrame:
+def beside(rows: DataFrame, key: str, told: DataFrame, how: str = "inner") -> DataFrame:
     """rows with the columns of told, which has one row per key: each of them is copied to SALTS keys, so that no task has all rows of a hot key."""
     copies = told.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rows.withColumn("_s", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
-    return salted.join(copies, [key, "_s"]).drop("_s")
+    return salted.join(copies, [key, "_s"], how).drop("_s")
 
 
 def _large_star(forest: DataFrame) -> DataFrame:

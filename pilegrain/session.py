@@ -22,10 +22,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Estimated sizes of more bits than this are forgotten: in a loop of joins each estimate is a product of earlier ones and its digits grow exponentially.
+ESTIMATE_BITS = 96
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Compute df once, keep it in the checkpoint folder and forget how it was made. Partitioning is kept."""
+    """Compute df once, keep it in the checkpoint folder and forget how it was made. Partitioning is kept, an absurd estimate of its size is not."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    run = done._jdf.queryExecution()
+    if run.optimizedPlan().stats().sizeInBytes().bit_length() <= ESTIMATE_BITS:
+        return done
+    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(run.toRdd(), done._jdf.schema(), False), df.sparkSession)
 
 
 def width(spark: SparkSession) -> int:
