@@ -21,12 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pilegrain.llm.settings import few
+from pilegrain.operators.components import beside
 from pilegrain.session import cut
 
 SALTS = 64
 BUCKETS = 256
-#: Keys that the records of one label are spread over where they learn what it is hooked to.
-LABEL_SALTS = 8
 LARGE_SHARE = 1000
 MOST_STRATA = 4096
 
@@ -54,13 +53,11 @@ def bundles(links: DataFrame, record: str, entity: str, bundle: str = "bundle",
         changed = step.where("new < l")
         if changed.isEmpty():
             return step.select(F.col("r").alias(record), F.col("l").alias(bundle))
-        # Labels that learnt of a smaller one are hooked to it; what they are hooked to is followed one step. Only hooks are joined on, few of them, and large ones are salted.
-        hooks = cut(changed.groupBy(F.col("l").alias("of")).agg(F.min("new").alias("to")))
-        far = hooks.join(hooks.select(F.col("of").alias("to"), F.col("to").alias("far")), "to", "left").select("of", F.coalesce("far", "to").alias("to"))
-        sure = far.select("of", "to", F.explode(F.sequence(F.lit(0), F.lit(LABEL_SALTS - 1))).alias("s"))
-        salted = step.withColumn("s", F.pmod(F.xxhash64("r"), F.lit(LABEL_SALTS)).cast("int"))
-        moved = salted.join(sure.withColumnRenamed("of", "l"), ["l", "s"], "left").select("r", F.least("new", F.coalesce("to", "new")).alias("l"))
-        labels = cut(moved)
+        # A label that learnt of a smaller one takes it over for all its records, then jumps to the label of its label; giant labels are spread over salted keys.
+        hooks = changed.groupBy("l").agg(F.min("new").alias("hook"))
+        hooked = cut(beside(step, "l", hooks, "left").select("r", F.least("new", F.coalesce("hook", "new")).alias("new")))
+        far = hooked.join(hooked.select(F.col("new").alias("r")).distinct(), "r", "left_semi").select(F.col("r").alias("new"), F.col("new").alias("far"))
+        labels = cut(beside(hooked, "new", far, "left").select("r", F.least("new", F.coalesce("far", "new")).alias("l")))
     raise RuntimeError(f"labels did not settle in {most_rounds} rounds")
 
 
