@@ -236,7 +236,8 @@ def test_pairs_at_the_rule_are_candidates(n):
 def test_banding_grows_with_less_than_the_records():
     bands = [banding(n)[2] for n in (10_000, 1_000_000, 100_000_000)]
     assert bands[0] < bands[1] < bands[2] < bands[0] * 1000
-    assert 0.2 < meeting(64, 256, 0.51) < 0.25 and 0.05 < meeting(64, 256, 0.0) < 0.08
+    assert 0.2 < meeting(64, 256, 0.51, 1, 1) < 0.25 and 0.05 < meeting(64, 256, 0.0, 1, 1) < 0.08
+    assert all(meeting(t, 256, 0.51, r, b) >= 0.92 for t, r, b in (banding(n) for n in (1000, 1_000_000, 100_000_000)))
 
 
 def test_consolidate_of_hubs_trees_and_grids(spark):
