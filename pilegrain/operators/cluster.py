@@ -111,20 +111,20 @@ def _named(ids: np.ndarray, label: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"id": frame["id"], "label": np.where(n > 1, least, -1).astype(np.int64)})
 
 
-def by_density(vectors: DataFrame, graph: DataFrame | None = None, least: int = 3, limit: int = ONE_TASK, **_) -> DataFrame:
-    """(id, label, probability): hierarchical density clustering (mutual reachability, condensed tree, excess of mass)."""
+def by_density(vectors: DataFrame, graph: DataFrame | None = None, least: int = 3, limit: int = ONE_TASK, epsilon: float = 0.0, **_) -> DataFrame:
+    """(id, label, probability): hierarchical density clustering (mutual reachability, condensed tree, excess of mass); groups that part only below the distance epsilon stay together."""
     if vectors.count() > limit:
         raise ValueError(f"density clustering holds all vectors in one task; more than {limit} rows")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
-        label, probability = density_labels(np.stack(rows.v.to_numpy()).astype(np.float64), least)
+        label, probability = density_labels(np.stack(rows.v.to_numpy()).astype(np.float64), least, epsilon)
         return pd.DataFrame({"id": rows.id.to_numpy(), "label": label, "probability": probability})
 
     return vectors.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, "id long, label long, probability double")
 
 
-def density_labels(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def density_labels(x: np.ndarray, least: int, epsilon: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Labels from 0 (noise -1) and membership strengths."""
     n = len(x)
     if n < least:
@@ -202,6 +202,17 @@ def density_labels(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
         below = sum(value[j] for j in sub[c] if j in value)
         chosen[c] = c != 2 * n - 2 and (not sub[c] or stability[c] >= below)
         value[c] = stability[c] if chosen[c] else below
+    if epsilon > 0:  # a group born below epsilon gives way to the nearest one above it that was not, or to the last below the root
+        above, stack, kept = {j: c for c in order for j in sub[c]}, [2 * n - 2], set()
+        while stack:
+            c = stack.pop()
+            if not chosen[c]:
+                stack += sub[c]
+                continue
+            while 1 / born[c] < epsilon and above[c] != 2 * n - 2:
+                c = above[c]
+            kept.add(c)
+        chosen = {c: c in kept for c in order}
     label, strength = np.full(n, -1, dtype=np.int64), np.zeros(n)
     stack, number = [2 * n - 2], 0
     while stack:

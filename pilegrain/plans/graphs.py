@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pilegrain.operators import cluster, vectors
 from pilegrain.operators.components import nested_components
+from pilegrain.operators.scalars import side_by_side
 from pilegrain.plans.scores import micro
 from pilegrain.session import cut
 from pilegrain.sources.tables import table
@@ -140,11 +141,26 @@ def average_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.group(_vectors(spark, sf_dir), "linkage", LEAST, 50)
 
 
+def grouping_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What may not be in a grouping, counted for each strategy: rows lost or told twice, groups of one, labels that are not the smallest id of their group, groups across components of the graph (density numbers its groups and knows no graph)."""
+    v = cut(_vectors(spark, sf_dir))
+    graph = cut(vectors.neighbour_graph(v, 50, LEAST))
+    whole = cut(cluster.by_components(v, graph)).select("id", F.col("label").alias("component"))
+    out = None
+    for name in ("components", "whispers", "linkage", "density"):
+        rows = cut(cluster.STRATEGIES[name](v, graph).select("id", "label").join(whole, "id"))
+        groups = rows.where("label <> -1").groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.countDistinct("component").alias("k"))
+        bad = groups.agg(F.count_if(F.col("n") < 2).alias("of_one"), F.count_if((F.col("least") != F.col("label")) & F.lit(name != "density")).alias("wrong_label"), F.count_if((F.col("k") > 1) & F.lit(name != "density")).alias("across"))
+        one = side_by_side(bad, rows.agg(F.count("*").alias("rows"), F.countDistinct("id").alias("ids"))).withColumn("strategy", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def density_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.group(_vectors(spark, sf_dir), "density").select("id", "label", F.round("probability", 4).alias("probability"))
 
 
-QUERIES = {f.__name__: f for f in (edges_similarity, knn_topk, piles_components, pile_sizes, sweep_thresholds, weld_point, tightness_bands, pile_index, merge_pairs, cross_group_best, cross_group_supply, vector_checks, model_parity, chinese_whispers, average_linkage, density_groups)}
+QUERIES = {f.__name__: f for f in (edges_similarity, knn_topk, piles_components, pile_sizes, sweep_thresholds, weld_point, tightness_bands, pile_index, merge_pairs, cross_group_best, cross_group_supply, vector_checks, model_parity, chinese_whispers, average_linkage, density_groups, grouping_properties)}
 
 _V = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"
 _E = f"WITH RECURSIVE {_V}, e AS (SELECT a.id AS src, b.id AS dst, list_dot_product(a.v, b.v) AS sim FROM v a JOIN v b ON a.id < b.id WHERE list_dot_product(a.v, b.v) >= {LEAST})"
@@ -167,5 +183,6 @@ ORACLE = {
     "merge_pairs": _PILES + _SUMS + _CENTRES + f" SELECT person, pile_id, place, {_MI('sim')} AS sim FROM (SELECT p3.id AS person, c2.id AS pile_id, list_dot_product(p3.v, c2.v) AS sim, row_number() OVER (PARTITION BY p3.id ORDER BY list_dot_product(p3.v, c2.v) DESC, c2.id) AS place FROM p3, c2) WHERE place <= 3 AND sim >= 0.1",
     "cross_group_best": f"WITH {_V}, h AS (SELECT max(id) // 2 AS h FROM v) SELECT src, dst, {_MI('sim')} AS sim FROM (SELECT a.id AS src, b.id AS dst, list_dot_product(a.v, b.v) AS sim, row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.v, b.v) DESC, b.id) AS place FROM v a, v b, h WHERE a.id <= h AND b.id > h) WHERE place = 1",
     "cross_group_supply": f"WITH {_V}, h AS (SELECT max(id) // 2 AS h FROM v), k(eighths) AS (VALUES {', '.join(f'({k})' for k in POOLS)}), t(least) AS (VALUES {', '.join(f'({t}::DOUBLE)' for t in MARKS)}), b AS (SELECT k.eighths, a.id, max(list_dot_product(a.v, c.v)) AS sim FROM v a, v c, h, k WHERE a.id <= h AND c.id > h AND c.id % 8 < k.eighths GROUP BY ALL) SELECT eighths, least, count(*) FILTER (WHERE sim >= least) AS rows_met, count(*) AS rows FROM b, t GROUP BY ALL",
+    "grouping_properties": "SELECT strategy, CAST(0 AS BIGINT) AS of_one, CAST(0 AS BIGINT) AS wrong_label, CAST(0 AS BIGINT) AS across, n AS rows, n AS ids FROM (VALUES ('components'), ('whispers'), ('linkage'), ('density')) s(strategy), (SELECT count(*) AS n FROM embeddings)",
     "vector_checks": f"SELECT model, count(*) AS rows, count(DISTINCT face_id) AS faces, count(DISTINCT embed_version) AS versions, count(DISTINCT platform) AS platforms, count(*) FILTER (WHERE g) AS usable, count(*) FILTER (WHERE g AND abs(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) > 0.05) AS not_unit, count(*) FILTER (WHERE embedding IS NULL) AS missing FROM (SELECT *, coalesce({_GOOD}, false) AS g FROM face_embeddings WHERE model IS NOT NULL) GROUP BY model",
 }

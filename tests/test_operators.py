@@ -234,3 +234,18 @@ def test_results(spark, tmp_path):
     gold.write_text("face_id,label,person_id\n1,person,a\n2,person,\n3,non_face,\n4,unsure,\n")
     got = results.read_gold(spark, str(gold), "face_id long, label string, person_id string")
     assert [r["role"] for r in got.orderBy("face_id").collect()] == ["identity", "excluded", "contaminant", "excluded"]
+
+
+def test_density_groups_that_part_below_epsilon_stay_together():
+    import numpy as np
+
+    from pilegrain.operators.cluster import density_labels
+
+    r = np.random.default_rng(2)
+    near = [r.normal(c, 0.02, (30, 2)) for c in ((0, 0), (0.4, 0), (5, 5), (5.4, 5))]
+    x = np.vstack(near)
+    fine, coarse = density_labels(x, 5)[0], density_labels(x, 5, 1.0)[0]
+    groups = lambda label: [set(label[30 * i : 30 * i + 30]) - {-1} for i in range(4)]
+    assert len(set.union(*groups(fine))) == 4
+    a, b, c, d = groups(coarse)
+    assert a == b and c == d and a != c and len(a) == len(c) == 1
