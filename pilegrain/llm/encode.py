@@ -79,13 +79,19 @@ def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : ahead[i]]] for i in range(n) if alive[i]]
 
 
+@lru_cache(maxsize=4)
+def vocabulary_of(path: str) -> dict[bytes, int]:
+    """Token bytes and ids of a vocabulary file."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Callable[[str], list[int]]:
     """The encoding function of a vocabulary file; one per process."""
     import regex
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    ranks = vocabulary_of(path)
     find = regex.compile(PATTERN).findall
     known: dict[str, list[int]] = {}
 
@@ -125,3 +131,14 @@ def token_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
         return pa.array([len(encode(t)) if t else 0 for t in texts.to_pylist()], pa.int64())
 
     return count(text)
+
+
+def decoded(ids: Column, vocabulary: str = VOCABULARY) -> Column:
+    """The text of an array of ids; null stays null, no ids give an empty text."""
+
+    @F.arrow_udf("string")
+    def text(lists: pa.Array) -> pa.Array:
+        pieces = {i: t for t, i in vocabulary_of(vocabulary).items()}
+        return pa.array([None if x is None else b"".join(pieces[i] for i in x).decode("utf-8", "replace") for x in lists.to_pylist()], pa.string())
+
+    return text(ids)

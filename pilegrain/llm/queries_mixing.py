@@ -30,5 +30,17 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(mixed(sized, targets, "doc_id"), targets, source_tokens(sized))
 
 
-QUERIES = {"p9_found": p9_found, "p9_mix": p9_mix, "p9_report": p9_report}
-ORACLE: dict[str, str] = {}
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each target got what was asked for or all it may give, passing it by less than its largest document, within its cap of repetitions."""
+    sized = cut(_sized(spark, sf_dir))
+    targets = table(spark, sf_dir, "mix_targets")
+    told = report(mixed(sized, targets, "doc_id"), targets, source_tokens(sized))
+    largest = sized.groupBy("source").agg(F.max("tokens").alias("largest"))
+    rows = told.join(F.broadcast(largest), "source", "left")
+    may = F.least(F.col("asked_tokens"), F.coalesce("max_repeats", F.lit(0)) * F.col("source_tokens"))
+    over = F.col("given_tokens") - may
+    return rows.select("mix_name", "source", ((over >= 0) & (over <= F.coalesce("largest", F.lit(0)))).alias("share_met"), (F.col("passes") <= F.coalesce("max_repeats", F.lit(0))).alias("within_repeats"))
+
+
+QUERIES = {"p9_found": p9_found, "p9_mix": p9_mix, "p9_report": p9_report, "p9_kept": p9_kept}
+ORACLE = {"p9_kept": "SELECT mix_name, lower(trim(source)) AS source, true AS share_met, true AS within_repeats FROM mix_targets"}
