@@ -24,7 +24,8 @@ QUERIES = {"p6_sample": p6_sample, "p6_growth": p6_growth}
 #: The list after a load ends at the place of the target-th key in the order of the hash; no buckets are counted here.
 _SAMPLE = """
 WITH ks AS (SELECT face_id AS k, coalesce(min(load_batch), 1) AS l FROM candidates WHERE face_id IS NOT NULL GROUP BY face_id),
-placed AS (SELECT sample_run, target_size, k, l, CAST(('0x' || substr(md5(concat_ws(':', random_seed::VARCHAR, k::VARCHAR)), 1, 9)) AS BIGINT) AS bucket FROM ks, sample_config WHERE target_size > 0),
+seeds AS (SELECT sample_run, target_size, ((coalesce(random_seed, 0) % 2147483648) + 2147483648) % 2147483648 AS s FROM sample_config WHERE target_size > 0),
+placed AS (SELECT sample_run, target_size, k, l, (CAST(('0x' || substr(md5(k::VARCHAR), 1, 9)) AS BIGINT) * (s * 40503 % 67108864 * 2 + 1) + s * 69621 % 68719476736) % 68719476736 AS bucket FROM ks, seeds),
 loads AS (SELECT DISTINCT l AS at_load FROM ks),
 ranked AS (SELECT sample_run, target_size, at_load, bucket, row_number() OVER (PARTITION BY sample_run, at_load ORDER BY bucket) AS place FROM placed JOIN loads ON l <= at_load),
 need AS (SELECT sample_run, at_load, coalesce(min(bucket) FILTER (WHERE place = target_size), 68719476736) AS need FROM ranked GROUP BY ALL),

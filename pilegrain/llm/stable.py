@@ -1,7 +1,7 @@
 """Problem 6: a reproducible sample that is stable as data grows.
 
-Method: nested hash buckets. Every key belongs for good to one of 2^36 fine buckets by a hash of
-seed and key, nested as three levels of 4096, and buckets are ordered by a fixed permutation, the hash itself. A
+Method: nested hash buckets. Every key belongs for good to one of 2^36 fine buckets by its hash, and the buckets are
+ordered by a fixed permutation of the seed, read in three levels of 4096 places. A
 sample is a prefix of that order which only ever grows: with each load the list is extended until the selected
 buckets reach the target and is never shortened, so all earlier picks stay and keys of later loads
 join only through buckets on the list. A fine bucket holds a key or none for any pool below some 10^10 keys, so
@@ -9,7 +9,7 @@ a sample passes its target by less than a bucket.
 
 Scale: the plan holds bucket counts only: 4096 per run and load at each level, and of the second and third level only the
 bucket in which a target is crossed. Counts of loads are running sums, so the work is linear in the loads. Selection is a
-filter on the hash without a shuffle of its own. The result does not depend on partitioning, order or reruns.
+filter on the place without a shuffle of its own; a key is hashed once for all runs. The result does not depend on partitioning, order or reruns.
 
 Defined results: copies of a key count once, at its earliest load; a null key is left out, a null load counts as the first;
 a target above the pool takes all; an empty table gives an empty result; more than MOST_RUNS runs or MOST_LOADS
@@ -29,9 +29,15 @@ PLACES = 1 << (BITS * LEVELS)
 MOST_RUNS, MOST_LOADS = 1000, 10_000
 
 
-def bucket_of(key: Column, seed: Column) -> Column:
-    """0 to PLACES - 1: place of the key's bucket in the permuted order of the seed."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", seed.cast("string"), key.cast("string"))), 1, BITS * LEVELS // 4), 16, 10).cast("long")
+def bucket_of(key: Column) -> Column:
+    """0 to PLACES - 1: the key's bucket, the same in every run."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, BITS * LEVELS // 4), 16, 10).cast("long")
+
+
+def permutation(seed: int | None) -> tuple[int, int]:
+    """(factor, shift) of a one-to-one map of the buckets to their places; the factor is odd."""
+    s = (seed or 0) % (1 << 31)
+    return s * 40_503 % (1 << 26) * 2 + 1, s * 69_621 % PLACES
 
 
 def _crossing(placed: DataFrame, open_: DataFrame, level: int) -> DataFrame:
@@ -56,9 +62,10 @@ def grown_sample(pool: DataFrame, key: str, load: str, runs: DataFrame, run: str
     """
     plans = [(r[run], r[target], r[seed]) for r in few(runs.select(run, target, seed).where(F.col(run).isNotNull()), MOST_RUNS) if r[target] and r[target] > 0]
     keys = pool.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.coalesce(F.min(load), F.lit(1)).alias("l"))
-    each = F.array(*[F.struct(F.lit(r).alias("run"), F.lit(t).cast("long").alias("target"), F.lit(s).cast("long").alias("seed")) for r, t, s in plans or [("", 0, 0)]])
-    keys = cut(keys if plans else keys.where(F.lit(False)))
-    placed = keys.select("k", "l", F.explode(each).alias("p")).select("k", "l", "p.run", "p.target", bucket_of(F.col("k"), F.col("p.seed")).alias("bucket"))
+    keys = cut((keys if plans else keys.where(F.lit(False))).select("k", "l", bucket_of(F.col("k")).alias("_b")))
+    places = [(r, t, *permutation(s)) for r, t, s in plans or [("", 0, 0)]]
+    each = F.array(*[F.struct(F.lit(r).alias("run"), F.lit(t).cast("long").alias("target"), ((F.col("_b") * F.lit(m).cast("long") + F.lit(c).cast("long")) % F.lit(PLACES)).alias("bucket")) for r, t, m, c in places])
+    placed = keys.select("k", "l", F.explode(each).alias("p")).select("k", "l", "p.run", "p.target", "p.bucket")
     loads = [r["l"] for r in few(keys.select("l").distinct(), MOST_LOADS)]
     spark = pool.sparkSession
     rows = [(r, t, at, 0, 0) for r, t, _ in plans for at in loads]
