@@ -107,3 +107,56 @@ def test_error_bar_draws_so_many_people(spark):
     predicted = spark.createDataFrame([(i, i % 90 if i % 7 else -1) for i in range(900)], "face_id long, cluster long")
     got = metrics.error_bar(metrics.cells(truth, predicted), 40, 300).first()
     assert got["draws"] == 300 and 0.8 < got["p05"] <= got["p50"] <= got["p95"] < 1
+
+
+def test_scans_statuses_and_versions(spark, tmp_path):
+    from pilegrain.sources import scan
+
+    old = spark.createDataFrame([(1, "a", "h1", 9), (2, "b", "h2", None)], "id long, path string, content_hash string, duplicate_of long")
+    new = spark.createDataFrame([(1, "a", "h1", 9), (3, "c", None, None)], "id long, path string, content_hash string, duplicate_of long")
+    got = {r["path"]: (r["content_hash"], r["duplicate_of"]) for r in scan.upsert_photos(old, new).collect()}
+    assert got == {"a": (None, None), "b": ("h2", None), "c": (None, None)}
+    items = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    status = scan.mark_done(spark.createDataFrame([(1, "v1", None)], "id long, version string, fault string"), items.where("id = 2"), "id", "v2", "unreadable")
+    assert sorted(r["id"] for r in scan.pending(items, status, "id", "v2").collect()) == [1, 3]
+    assert sorted(r["id"] for r in scan.pending(items, status, "id", "v1").collect()) == [2, 3]
+    root = str(tmp_path / "t")
+    for v in (1, 2):
+        scan.save_version(items.limit(v), root, v)
+        scan.point_to(spark, root, v)
+    assert scan.live(spark, root).count() == 2
+    scan.point_to(spark, root, 1)
+    assert scan.live(spark, root).count() == 1
+
+
+def test_pages_and_people_without_faces(spark, log):
+    rows = spark.createDataFrame([(i,) for i in range(1, 11)], "rank long")
+    assert [r["rank"] for r in review.page(rows, "rank", 2, 4).orderBy("rank").collect()] == [5, 6, 7, 8]
+    assert review.page(rows, "rank", 4, 4).count() == 0
+    now = review.state(log.unionByName(edits.split_off(spark.createDataFrame([(3,)], "face_id long"), review.state(log), "bob", "ann", at(9), "b9")))
+    faces = spark.createDataFrame([(1, 10.0), (2, 30.0), (3, None)], "face_id long, interocular_px double")
+    got = {r["person_id"]: (r["faces"], r["sample"]) for r in review.people_counts(now, log.where("kind = 'person'"), faces).collect()}
+    assert got == {"ann": (3, 2), "bob": (0, None)}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from pilegrain.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Held:
+        def isDefined(self):
+            return False
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: Held()})()})()
+
+        def getConf(self):
+            return Conf()
+
+    session = type("Session", (), {"sparkContext": Context(), "conf": Conf()})()
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(session)
