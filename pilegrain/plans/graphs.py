@@ -16,8 +16,14 @@ LEAST, DIM = 0.35, 64
 CUTS = [0.45, 0.42, 0.40, 0.38, 0.36, 0.35]
 
 
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, embedding, label) of the test vectors: usable ones with an id, repeated rows once."""
+    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & vectors.usable(F.col("embedding"), DIM))
+    return rows.groupBy("vec_id").agg(F.max(F.struct("embedding", "label")).alias("r")).select("vec_id", "r.embedding", "r.label")
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return _rows(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
 
 
 def _piles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +94,7 @@ def pile_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known labels whose mean vector comes near a pile's, strongest first within the label."""
     v = _vectors(spark, sf_dir)
-    people = vectors.group_sums(table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("person"), F.col("embedding").cast("array<double>").alias("v")), "person", "v", DIM)
+    people = vectors.group_sums(_rows(spark, sf_dir).select(F.col("label").cast("long").alias("person"), F.col("embedding").cast("array<double>").alias("v")), "person", "v", DIM)
     rows = v.join(_piles(spark, sf_dir), "id").where("label <> -1")
     centres = vectors.group_sums(rows, "label", "v", DIM)
     as_unit = lambda df, key: df.select(F.col(key).alias("id"), vectors.unit(F.transform("s", lambda x: x / 1e6)).alias("v"))

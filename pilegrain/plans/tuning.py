@@ -10,7 +10,7 @@ from pilegrain.operators.components import nested_components
 from pilegrain.operators.ranking import global_rank
 from pilegrain.operators.sampling import SEED, random_order
 from pilegrain.operators.scalars import with_scalars
-from pilegrain.plans.graphs import _SWEEP, CUTS, DIM, _vectors
+from pilegrain.plans.graphs import _SWEEP, CUTS, DIM, _rows, _vectors
 from pilegrain.plans.scores import micro
 from pilegrain.session import cut
 from pilegrain.sources import views
@@ -70,7 +70,7 @@ def era_piles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _people(spark: SparkSession, sf_dir: str, share: int = 2) -> DataFrame:
     """(id, v): mean direction of each label over the rows that count as labelled: in the table of test vectors those with an even id."""
-    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % share == 0).select(F.col("label").cast("long").alias("person"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = _rows(spark, sf_dir).where(F.col("vec_id") % share == 0).select(F.col("label").cast("long").alias("person"), F.col("embedding").cast("array<double>").alias("v"))
     return vectors.group_sums(rows, "person", "v", DIM).select(F.col("person").alias("id"), vectors.unit(F.transform("s", lambda x: x / 1e6)).alias("v"))
 
 
@@ -82,7 +82,7 @@ def topup_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suggestions, right ones, precision and recall of person-row merges at each cut."""
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("dst"), F.col("label").cast("long").alias("truth"))
+    rows = _rows(spark, sf_dir).select(F.col("vec_id").alias("dst"), F.col("label").cast("long").alias("truth"))
     pairs = vectors.with_cosine(vectors.blocked(_people(spark, sf_dir), _vectors(spark, sf_dir), None, min(MERGE_CUTS)), _people(spark, sf_dir), _vectors(spark, sf_dir)).join(rows, "dst")
     each = pairs.select((F.col("src") == F.col("truth")).alias("right"), F.explode(F.filter(F.array(*[F.lit(c) for c in MERGE_CUTS]), lambda c: F.col("sim") >= c)).alias("cut"))
     counts = each.groupBy("cut").agg(F.count("*").alias("suggested"), F.count_if("right").alias("hits"))
@@ -103,7 +103,7 @@ def random_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def biggest_pile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest pile at each cut and how many labels stand in it."""
     graph = cut(vectors.edges(_vectors(spark, sf_dir), min(CUTS)))
-    known = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vertex"), "label")
+    known = _rows(spark, sf_dir).select(F.col("vec_id").alias("vertex"), "label")
     rows = None
     for t, groups in nested_components(graph, CUTS):
         groups = groups.join(known, "vertex")

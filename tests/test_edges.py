@@ -1,6 +1,7 @@
 import pytest
 
 from pilegrain import catalogue
+from pilegrain.plans import actions
 from tests.edge_tables import write
 
 
@@ -25,6 +26,15 @@ def test_empty_tables(spark, empty, name):
     assert catalogue.QUERIES[name](spark, empty).count() in (0, 1)
 
 
+WRITES = sorted([*actions.QUERIES, "experiment_run", "largest_pile_verdict", "merge_queue", "merge_cut", "closest_pairs", "pile_ranking_coherent", "pile_quality", "worst_people", "split_preview", "pinned_trim", "identity_split", "error_bar", "corpus_warnings", "people_counts", "cross_group_supply", "sweep_thresholds", "random_pairs"])
+
+
+@pytest.mark.parametrize("name", WRITES)
+def test_writes_and_experiments_of_empty_and_dirty_tables(spark, empty, dirty, name):
+    assert catalogue.QUERIES[name](spark, empty).count() <= 7
+    catalogue.QUERIES[name](spark, dirty).count()
+
+
 @pytest.mark.parametrize("name", ["exact_duplicates", "pending_photos", "capped_pool", "latest_decision", "pile_ranking", "face_pose", "strata", "per_person"])
 def test_repeated_and_null_rows_change_nothing(spark, sf, dirty, name):
     rows = lambda d: sorted(str(r) for r in catalogue.QUERIES[name](spark, d).collect())
