@@ -9,7 +9,7 @@ High-confidence patterns so discover identifiers without a label, names without
 scripts; what they teach is a lexicon of given and family names and of number shapes, which then
 tags every text. Addresses are frames of a house number and capitalised words; their street kind (a last word, a
 first word, an ending) is a seed or is learnt in turns from the patterns that addresses with known kinds stand in.
-Mail addresses are told by their own form; mail hosts written around their at sign or dots must be hosts seen plainly elsewhere.
+Mail addresses are told by their own form; mail hosts written around their at sign or dots without brackets must be hosts seen plainly elsewhere.
 
 Scale: two passes over the texts without a shuffle of texts; the graph is aggregated before it is joined. A
 pattern or word counts from a few occurrences in a corpus of any size, so a rare name is not lost in a large one; the
@@ -458,6 +458,10 @@ class Tagger:
                 yield m.span()
         for m in _written_around(plain):
             host = _DOT.sub(".", m.group(2)).casefold()
+            bracketed, last = any(c in plain[m.end(1) : m.start(2)] for c in "[({"), host.rpartition(".")[2]
+            if bracketed and last.isalpha() and last not in NOT_HOSTS and not any(host.endswith(h) or h in host for h in self.learnt["host"]):
+                yield m.span()  # brackets leave no doubt
+                continue
             while host and host not in self.learnt["host"]:
                 host = host.rpartition(".")[0]
             if host and m.end() != ends:

@@ -134,3 +134,10 @@ def test_street_kinds_that_no_seed_holds_are_learnt(spark):
     for a in ("Via Roma 12, 20121 Milano", "Kerkstraat 12, 1017 GA Amsterdam", "Rua Augusta 1500", "12 Elm Parkway", "44 Sunset Trail", "ul. Marszalkowska 10", "1600 Pennsylvania Avenue NW"):
         assert (0, len(a), "address") in tagger.spans(a), a
     assert personal.learnt_address({}) is None and personal.ways(spark.createDataFrame([], personal._PAIRS + ", n long").where("kind = 'way'")) == {}
+
+
+def test_brackets_alone_make_a_mail_address():
+    empty = dict.fromkeys(("given", "family", "common", "name", "host", "street", "town", "way", "shape phone", "pattern phone", "shape id_number", "pattern id_number"), {})
+    tagger = personal.Tagger(empty)
+    text = "write to jane [at] rarehost [dot] org. or ann at rarehost dot org, see pic (at) two.png"
+    assert [text[i:j] for i, j, k in tagger.spans(text) if k == "email"] == ["jane [at] rarehost [dot] org"]
