@@ -71,6 +71,13 @@ def weld_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.orderBy(F.desc("growth"), "least").limit(1).select("least", "safe", "growth", "largest")
 
 
+def strictest_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: the largest pile at the strictest cut, its share of all rows, and whether that already is over a fiftieth, so that no cut of the sweep is safe."""
+    rows = sweep_thresholds(spark, sf_dir).orderBy(F.desc("least")).limit(1)
+    whole = F.col("grouped") + F.col("lone")
+    return rows.select("least", "largest", micro(F.col("largest") / whole).alias("share"), (F.col("largest") * 50 > whole).alias("welded_already"))
+
+
 def tightness_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piles by the mean cosine of their pairs."""
     v = _vectors(spark, sf_dir)
@@ -166,7 +173,7 @@ def density_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.group(_vectors(spark, sf_dir), "density").select("id", "label", F.round("probability", 4).alias("probability"))
 
 
-QUERIES = {f.__name__: f for f in (edges_similarity, knn_topk, piles_components, pile_sizes, sweep_thresholds, weld_point, tightness_bands, pile_index, merge_pairs, cross_group_best, cross_group_supply, vector_checks, model_parity, chinese_whispers, average_linkage, density_groups, grouping_properties)}
+QUERIES = {f.__name__: f for f in (edges_similarity, knn_topk, piles_components, pile_sizes, sweep_thresholds, weld_point, strictest_cut, tightness_bands, pile_index, merge_pairs, cross_group_best, cross_group_supply, vector_checks, model_parity, chinese_whispers, average_linkage, density_groups, grouping_properties)}
 
 _V = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"
 _E = f"WITH RECURSIVE {_V}, e AS (SELECT a.id AS src, b.id AS dst, list_dot_product(a.v, b.v) AS sim FROM v a JOIN v b ON a.id < b.id WHERE list_dot_product(a.v, b.v) >= {LEAST})"
@@ -184,6 +191,7 @@ ORACLE = {
     "pile_sizes": _PILES + " SELECT label, count(*) AS size FROM piles GROUP BY label",
     "sweep_thresholds": _SWEEP + "SELECT * FROM sweep",
     "weld_point": _SWEEP + "SELECT least, safe, growth, largest FROM (SELECT *, lag(largest) OVER (ORDER BY least DESC) AS before, lag(least) OVER (ORDER BY least DESC) AS safe FROM sweep) WHERE before >= 5 AND growth >= 2000000 ORDER BY growth DESC, least LIMIT 1",
+    "strictest_cut": _SWEEP + f"SELECT least, largest, {_MI('largest / (grouped + lone)')} AS share, largest * 50 > grouped + lone AS welded_already FROM sweep ORDER BY least DESC LIMIT 1",
     "tightness_bands": _PILES + _SUMS + " SELECT CASE WHEN m >= 0.45 THEN 'tight' WHEN m >= 0.35 THEN 'fair' WHEN m >= 0.2 THEN 'loose' ELSE 'scattered' END AS band, count(*) AS piles, CAST(sum(n) AS BIGINT) AS faces FROM (SELECT n, (sq - n) / (n * (n - 1)) AS m FROM sums) GROUP BY 1",
     "pile_index": _PILES + _SUMS + f" SELECT pile_id, faces, coherence, {_MI('log10(faces + 1) * least(coherence / 1e6, 1.0)')} AS score FROM (SELECT label AS pile_id, n AS faces, {_MI('sqrt(sq) / n')} AS coherence FROM sums)",
     "merge_pairs": _PILES + _SUMS + _CENTRES + f" SELECT person, pile_id, place, {_MI('sim')} AS sim FROM (SELECT p3.id AS person, c2.id AS pile_id, list_dot_product(p3.v, c2.v) AS sim, row_number() OVER (PARTITION BY p3.id ORDER BY list_dot_product(p3.v, c2.v) DESC, c2.id) AS place FROM p3, c2) WHERE place <= 3 AND sim >= 0.1",

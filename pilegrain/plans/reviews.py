@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pilegrain.functions import geometry
 from pilegrain.operators import review
+from pilegrain.operators.scalars import with_scalars
 from pilegrain.plans.scores import micro
 from pilegrain.session import cut
 from pilegrain.sources import views
@@ -155,6 +156,14 @@ def clustering_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("faces", "clusters", "largest", F.get("l", F.floor(F.size("l") / 2).cast("int")).alias("middle"), micro(F.col("noise") / F.col("faces")).alias("noise_share"))
 
 
+def clustering_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten largest clusters and their share of all faces."""
+    sizes = cluster_sizes(spark, sf_dir)
+    total = sizes.agg(F.sum("faces").alias("total"))
+    top = sizes.where("pile_id <> -1").orderBy(F.desc("faces"), "pile_id").limit(10)
+    return with_scalars(top, total).select("pile_id", "faces", micro(F.col("faces") / F.col("total")).alias("share"))
+
+
 def noise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clustered and unclustered faces compared: medians and the share of readable faces."""
     rows = _members(spark, sf_dir).join(_faces(spark, sf_dir), "face_id")
@@ -227,7 +236,7 @@ def next_person_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.gold(spark, sf_dir).where("person_id IS NOT NULL").agg((F.coalesce(F.max(number), F.lit(0)) + 1).alias("next_number"))
 
 
-QUERIES = {f.__name__: f for f in (latest_decision, undo_state, progress, people_counts, search_people, pile_attribution, open_per_pile, pile_ranking, next_pile, person_faces, pile_members, junk_and_lone, coverage_curve, piles_needed, label_summary, readability, person_spans, validation_flags, label_queue, cluster_sizes, clustering_summary, noise_quality, pool_stats, size_bias, face_pose, face_transform, faces_suppressed, face_order, name_near_duplicates, next_person_number)}
+QUERIES = {f.__name__: f for f in (latest_decision, undo_state, progress, people_counts, search_people, pile_attribution, open_per_pile, pile_ranking, next_pile, person_faces, pile_members, junk_and_lone, coverage_curve, piles_needed, label_summary, readability, person_spans, validation_flags, label_queue, cluster_sizes, clustering_summary, clustering_top, noise_quality, pool_stats, size_bias, face_pose, face_transform, faces_suppressed, face_order, name_near_duplicates, next_person_number)}
 
 _M = lambda x: f"CAST(round(({x}) * 1e6) AS BIGINT)"
 _NOW = "now AS (SELECT face_id, kind, person_id FROM (SELECT *, row_number() OVER (PARTITION BY face_id ORDER BY at_time DESC NULLS LAST, kind DESC, person_id DESC NULLS LAST) AS r FROM log) WHERE r = 1)"
@@ -266,6 +275,7 @@ ORACLE = {
     "label_queue": sql_with("cur_pool", "cur_gold", more=_MEM + ", l AS (SELECT pile_id, count(*) AS n FROM members WHERE face_id NOT IN (SELECT face_id FROM cur_gold) GROUP BY pile_id)") + "SELECT CASE WHEN pile_id = -1 THEN 'noise' WHEN n >= 10 THEN '10+' WHEN n >= 5 THEN '5-9' WHEN n >= 2 THEN '2-4' ELSE 'single' END AS band, count(*) AS sheets, CAST(sum(n) AS BIGINT) AS faces FROM l GROUP BY 1",
     "cluster_sizes": sql_with("cur_pool") + "SELECT cluster_id AS pile_id, count(*) AS faces FROM cur_pool GROUP BY 1",
     "clustering_summary": sql_with("cur_pool", more="s AS (SELECT cluster_id, count(*) AS n FROM cur_pool GROUP BY 1)") + f"SELECT CAST(sum(n) AS BIGINT) AS faces, count(*) FILTER (WHERE cluster_id <> -1) AS clusters, max(n) FILTER (WHERE cluster_id <> -1) AS largest, list_reverse_sort(list(n) FILTER (WHERE cluster_id <> -1))[count(*) FILTER (WHERE cluster_id <> -1) // 2 + 1] AS middle, {_M('coalesce(sum(n) FILTER (WHERE cluster_id = -1), 0) / sum(n)')} AS noise_share FROM s",
+    "clustering_top": sql_with("cur_pool") + f"SELECT cluster_id AS pile_id, count(*) AS faces, {_M('count(*) / (SELECT count(*) FROM cur_pool)')} AS share FROM cur_pool WHERE cluster_id <> -1 GROUP BY 1 ORDER BY faces DESC, pile_id LIMIT 10",
     "noise_quality": sql_with("cur_pool", "cur_faces", more=_MEM + ", " + _FACE) + f"SELECT CASE WHEN pile_id = -1 THEN 'noise' ELSE 'clustered' END AS bucket, count(*) AS faces, {_M('quantile_cont(coalesce(interocular_px, 0), 0.5)')} AS eye, {_M('quantile_cont(coalesce(blur, 0), 0.5)')} AS blur, {_M('quantile_cont(det_score, 0.5)')} AS score, {_M('avg(CASE WHEN coalesce(interocular_px, 0) >= 40 THEN 1 ELSE 0 END)')} AS readable FROM members JOIN f USING (face_id) GROUP BY 1",
     "pool_stats": sql_with("cur_faces", "cur_photos", more=_KINDED) + "SELECT 'size' AS section, CASE WHEN interocular_px < 20 THEN 'tiny' WHEN interocular_px < 40 THEN 'small' WHEN interocular_px < 80 THEN 'medium' ELSE 'large' END AS bucket, count(*) AS faces, count(DISTINCT photo_id) AS photos FROM kf WHERE interocular_px IS NOT NULL GROUP BY 2 UNION ALL SELECT 'pose', CASE WHEN abs(yaw_deg) < 15 THEN 'frontal' WHEN abs(yaw_deg) < 45 THEN 'semi' ELSE 'profile' END, count(*), count(DISTINCT photo_id) FROM kf WHERE abs(yaw_deg) < 91 GROUP BY 2 UNION ALL SELECT 'kind', pkind, count(*), count(DISTINCT photo_id) FROM kf GROUP BY 2",
     "size_bias": sql_with("cur_faces", "cur_photos", more=_KINDED) + f"SELECT pkind AS kind, count(*) AS faces, list_sort(list(interocular_px))[count(*) // 2 + 1] AS median, {_M('count(*) FILTER (WHERE interocular_px < 20) / count(*)')} AS tiny, {_M('count(*) FILTER (WHERE interocular_px >= 40) / count(*)')} AS usable FROM kf WHERE interocular_px IS NOT NULL GROUP BY 1",

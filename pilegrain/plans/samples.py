@@ -58,7 +58,13 @@ def pinned_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.greedy(sampling.capped(cut(_rows(spark, sf_dir))), SIZE, pinned=pinned)
 
 
-QUERIES = {f.__name__: f for f in (strata, quality_rank, capped_pool, reserved, greedy_sample, pinned_sample, pool_composition)}
+def cross_era_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: faces of clusters that span the oldest and the most recent era, these clusters, and whether the faces are too few (under ten)."""
+    rows = sampling.cross_era(sampling.strata(_faces(spark, sf_dir), "backup")).where("cross_era")
+    return rows.agg(F.count("*").alias("faces"), F.countDistinct("cluster_id").alias("clusters")).withColumn("too_few", F.col("faces") < 10)
+
+
+QUERIES = {f.__name__: f for f in (strata, quality_rank, capped_pool, reserved, greedy_sample, pinned_sample, pool_composition, cross_era_supply)}
 
 _FACES = (
     "n AS (SELECT photo_id, count(*) AS n_faces FROM cur_faces GROUP BY photo_id), "
@@ -82,3 +88,4 @@ ORACLE = {
     "reserved": sql_with("cur_pool", more="low AS (SELECT face_id FROM cur_pool WHERE det_score IS NOT NULL ORDER BY det_score, face_id LIMIT 50)") + f"SELECT face_id, 'detector_fp' AS reserved_for FROM low UNION ALL (SELECT face_id, 'noise_review' FROM cur_pool WHERE det_score IS NOT NULL AND cluster_id = -1 AND face_id NOT IN (SELECT face_id FROM low) ORDER BY {_RANDOM}, face_id LIMIT 60)",
     "pool_composition": sql_with("cur_faces", "cur_photos", "cur_pool", more=_FACES + f", goals(dimension, category, target) AS (VALUES {_GOALS}), held AS (SELECT dimension, category, count(*) AS n FROM ({_HELD}) GROUP BY ALL), g AS (SELECT dimension, category, coalesce(n, 0) AS faces, target FROM goals LEFT JOIN held USING (dimension, category)), h AS (SELECT *, CAST(sum(faces) OVER (PARTITION BY dimension) AS BIGINT) AS t FROM g)") + "SELECT dimension, category, faces, faces / t AS share, target, abs(faces / t - target) > 0.05 AS off FROM h",
 }
+ORACLE["cross_era_supply"] = "WITH st AS (" + ORACLE["strata"] + ") SELECT count(*) AS faces, count(DISTINCT k.cluster_id) AS clusters, count(*) < 10 AS too_few FROM st JOIN (SELECT face_id, cluster_id FROM (" + sql_with("cur_pool") + "SELECT * FROM cur_pool)) k USING (face_id) WHERE cross_era"
