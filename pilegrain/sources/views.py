@@ -46,11 +46,16 @@ def face_vectors(spark: SparkSession, sf_dir: str, dim: int = 256) -> DataFrame:
     return now.where(vectors.usable(F.col("embedding"), dim)).select(F.col("face_id").alias("id"), vectors.unit(F.col("embedding")).alias("v"))
 
 
-def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(face_id, kind, person_id, at): the labelling history as a decision log, copies once."""
+def decisions_of(labels: DataFrame) -> DataFrame:
+    """(face_id, kind, person_id, at) of rows of gold_labels."""
     kind = F.when(F.col("label") == "person", "person").when(F.col("label").isin("not_of_interest", "non_face"), "junk").otherwise("unassigned")
     person = F.when(F.col("label") == "person", F.nullif(F.trim("person_id"), F.lit("")))
-    return table(spark, sf_dir, "gold_labels").where("face_id IS NOT NULL").select("face_id", kind.alias("kind"), person.alias("person_id"), F.col("labelled_at").alias("at")).distinct()
+    return labels.where("face_id IS NOT NULL").select("face_id", kind.alias("kind"), person.alias("person_id"), F.col("labelled_at").alias("at"))
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelling history as a decision log, copies once."""
+    return decisions_of(table(spark, sf_dir, "gold_labels")).distinct()
 
 
 def _current(name: str, key: str, latest: str) -> str:

@@ -25,24 +25,35 @@ def run_new_files(spark: SparkSession, source: str, schema: StructType | str, wo
     return query
 
 
-def fold_log(spark: SparkSession, source: str, schema: StructType | str, target: str, checkpoint: str) -> StreamingQuery:
-    """Keep the latest decision of every face under target/<batch id>: the state so far and the new rows give the next.
+def fold_log(spark: SparkSession, source: str, schema: StructType | str, target: str, checkpoint: str, decide: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Keep the latest decisions of each batch of new files under target/part=<batch>; folded gives the state.
 
-    The state of a batch is written whole under its own number, so a batch that runs again gives the same files.
+    A batch costs its own rows, whatever the log has grown to, and one that runs again writes the same part. decide turns the rows of
+    the files into decisions.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        log = batch.select("face_id", "kind", "person_id", "at")
-        if number:
-            log = log.unionByName(session.read.parquet(f"{target}/{number - 1:09d}").select("face_id", "kind", "person_id", "at"))
-        state(log).write.mode("overwrite").parquet(f"{target}/{number:09d}")
+        log = batch if decide is None else decide(batch)
+        state(log.select("face_id", "kind", "person_id", "at")).write.mode("overwrite").parquet(f"{target}/part={number:09d}")
 
     query = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
+def folded(spark: SparkSession, target: str) -> DataFrame:
+    """(face_id, kind, person_id, at): the state of all parts. Parts may overlap: the latest decision is a maximum."""
+    return state(spark.read.parquet(target).drop("part"))
+
+
+def compacted(spark: SparkSession, target: str) -> str:
+    """Write the state of all parts as one part, to a folder beside them, and give its name; it replaces the parts it was made of once they are removed, and until then they may stand together."""
+    parts = sorted(r["part"] for r in spark.read.parquet(target).select("part").distinct().collect())
+    to = f"{target}-compacted/part={parts[-1]:09d}"
+    folded(spark, target).write.mode("overwrite").parquet(to)
+    return to
+
+
 def windowed_events(events: DataFrame, at: str = "ts", width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts per window and type of an event stream; events later than the watermark are left out. An extension: times without zone are taken as UTC."""
     timed = events.withColumn("_at", F.col(at).cast("timestamp"))

@@ -22,8 +22,11 @@ def test_log_folds_to_the_latest(spark, tmp_path):
     resume.fold_log(spark, source, schema, target, check)
     spark.createDataFrame([(1, "unassigned", None, 2)], schema).write.mode("append").parquet(source)
     resume.fold_log(spark, source, schema, target, check)
-    last = sorted((tmp_path / "state").iterdir())[-1]
-    assert {r["face_id"]: r["kind"] for r in spark.read.parquet(str(last)).collect()} == {1: "unassigned", 2: "junk"}
+    want = {1: "unassigned", 2: "junk"}
+    assert {r["face_id"]: r["kind"] for r in resume.folded(spark, target).collect()} == want
+    assert len([p for p in (tmp_path / "state").iterdir() if p.name.startswith("part=")]) == 2  # each run wrote its own rows only
+    whole = resume.compacted(spark, target)
+    assert {r["face_id"]: r["kind"] for r in spark.read.parquet(whole).collect()} == want
 
 
 def test_windows_over_a_batch(spark, sf):
