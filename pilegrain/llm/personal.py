@@ -13,7 +13,8 @@ Mail addresses are told by their own form; mail hosts written around their at si
 
 Scale: two passes over the texts without a shuffle of texts; the graph is aggregated before it is joined. A
 pattern or word counts from a few occurrences in a corpus of any size, so a rare name is not lost in a large one; the
-lexicon sent to the tasks grows with the distinct words that recur. Every text is read whole.
+lexicon sent to the tasks grows with the distinct words that recur; each of its tables is counted, and one of more than
+MOST_LEARNT entries is an error. Every text is read whole.
 
 Defined results: null, empty and blank texts have no spans; spans are counted in code points and do not overlap (mail
 address, address, number and name win in this order); a repeated document gives its spans once per row.
@@ -36,6 +37,8 @@ from pilegrain.session import cut
 #: Fewest occurrences of a pattern of names, of a word of a name, of a small word, of a number shape or its pattern, of a street or town, of a street kind.
 PATTERN, NAME, SMALL, FIGURE, PLACE, WAY = 3, 2, 3, 2, 2, 3
 ROUNDS = 3
+#: Most entries of one learnt table, some 200 MB in a task.
+MOST_LEARNT = 2_000_000
 TYPES = ("email", "address", "id_number", "phone", "name")
 
 # Words that mark what follows or precedes.
@@ -342,6 +345,14 @@ def _best(rows: DataFrame, rated: DataFrame) -> DataFrame:
     return rows.withColumn("best", F.greatest(*[F.coalesce(f"_s{i}", F.lit(0.0)) for i in range(3)])).drop("_s0", "_s1", "_s2")
 
 
+def _fetched(rows: DataFrame) -> list:
+    """What is learnt, for the broadcast to the tasks: more than MOST_LEARNT rows are an error, never cut."""
+    held = rows.limit(MOST_LEARNT + 1).collect()
+    if len(held) > MOST_LEARNT:
+        raise ValueError(f"a lexicon of more than {MOST_LEARNT} entries; raise the fewest occurrences")
+    return held
+
+
 def ways(met: DataFrame) -> dict[str, float]:
     """Street kinds learnt from the patterns of known ones: a pattern counts by the share of its frames with a known kind, a kind by the share of its frames in a good pattern.
 
@@ -355,7 +366,7 @@ def ways(met: DataFrame) -> dict[str, float]:
         told = _best(met.where("seed = ''"), rated)
         every = told.groupBy("a").agg((F.sum(F.col("n") * F.col("best")) / F.sum("n")).alias("score"), F.sum("n").alias("m"), F.count_distinct(F.when(F.col("best") > 0, F.struct("l", "r"))).alias("places"))
         known = cut(every.where((F.col("m") >= WAY) & (F.col("score") >= 0.5)).select("a", "score"))
-    found = {r["a"]: r["score"] for r in known.toLocalIterator()}
+    found = {r["a"]: r["score"] for r in _fetched(known)}
     return {k: v for k, v in found.items() if not (k.startswith("ending ") and any(o != k and o.endswith(k.split(" ", 1)[1]) and o.startswith("ending ") for o in found))}
 
 
@@ -386,7 +397,7 @@ def learn(texts: DataFrame, text: str, kinds: dict[str, frozenset] = SEED_KINDS)
     for role, c in (("g ", "a"), ("f ", "b")):
         taught = taught.union(uncased.groupBy(c).agg((F.sum(F.when(F.col("best") > 0, F.col("n")).otherwise(0)) / F.sum("n")).alias("s"), F.sum("n").alias("m")).where((F.col("m") >= NAME) & (F.col("s") >= 0.3)).select(F.concat(F.lit(role), c).alias("w")))
     seeded = seeds.where(F.col("a").rlike(r"^\p{IsHan}")).select(F.explode(F.array(F.concat(F.lit("g "), "a"), F.concat(F.lit("f "), "b"))).alias("w"))
-    rows = [(r["w"], 1.0) for r in taught.union(seeded).distinct().toLocalIterator()]
+    rows = [(r["w"], 1.0) for r in _fetched(taught.union(seeded).distinct())]
     out["given"] = {w[2:]: s for w, s in rows if w[0] == "g"}
     out["family"] = {w[2:]: s for w, s in rows if w[0] == "f"}
     small = held.where("kind = 'small'")
@@ -395,8 +406,8 @@ def learn(texts: DataFrame, text: str, kinds: dict[str, frozenset] = SEED_KINDS)
     capital = every.groupBy(F.expr("substring(w, 3)").alias("a")).agg(F.sum("m").alias("m"))
     lower = small.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= SMALL).join(capital, "a", "left").where("n > coalesce(m, 0)").select("a")
     common = unlike.union(lower)
-    out["common"] = {r["a"]: 0.0 for r in common.distinct().toLocalIterator()}
-    out["name"] = {r["p"]: r["score"] for r in rated.where("score >= 0.8").toLocalIterator()}
+    out["common"] = {r["a"]: 0.0 for r in _fetched(common.distinct())}
+    out["name"] = {r["p"]: r["score"] for r in _fetched(rated.where("score >= 0.8"))}
 
     figures = held.where("kind = 'number'")
     for kind in ("phone", "id_number"):
@@ -410,14 +421,14 @@ def learn(texts: DataFrame, text: str, kinds: dict[str, frozenset] = SEED_KINDS)
             rated = cut(_patterns(scored, FIGURE, 0.3, _VAGUE))
             told = _best(same, rated).withColumn("best", F.when(mine, 1.0).otherwise(F.when(F.col("best") >= 0.4, 1.0).otherwise(F.col("best"))))
             shapes = cut(told.groupBy("a").agg((F.sum(F.col("n") * F.col("best")) / F.sum("n")).alias("score"), F.sum("n").alias("m")).where((F.col("m") >= FIGURE) & (F.col("score") >= 0.01)).select("a", "score"))
-        out["shape " + kind] = {r["a"]: r["score"] for r in shapes.toLocalIterator()}
-        out["pattern " + kind] = {r["p"]: r["score"] for r in rated.where("score >= 0.4").toLocalIterator()}
+        out["shape " + kind] = {r["a"]: r["score"] for r in _fetched(shapes)}
+        out["pattern " + kind] = {r["p"]: r["score"] for r in _fetched(rated.where("score >= 0.4"))}
     out["way"] = ways(held.where("kind = 'way'"))
     hosts = held.where("kind = 'host'").select("a").distinct()
-    out["host"] = {r["a"]: 1.0 for r in hosts.toLocalIterator()}
+    out["host"] = {r["a"]: 1.0 for r in _fetched(hosts)}
     for kind in ("street", "town"):
         met = held.where(F.col("kind") == kind)
-        out[kind] = {r["a"]: 1.0 for r in met.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= PLACE).select("a").toLocalIterator()}
+        out[kind] = {r["a"]: 1.0 for r in _fetched(met.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= PLACE).select("a"))}
     return out
 
 
