@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pilegrain.operators.components import components
 from pilegrain.operators.vectors import neighbour_graph
+from pilegrain.session import cut
 
 ONE_TASK = 200_000
 
@@ -29,7 +30,7 @@ def by_components(vectors: DataFrame, graph: DataFrame, **_) -> DataFrame:
 def _per_component(vectors: DataFrame, graph: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], limit: int = 20 * ONE_TASK) -> DataFrame:
     """run on the edges of each component in a task of its own; a component of more edges than limit is refused, never cut."""
     groups = components(graph, "src", "dst", "id", "comp")
-    rows = graph.join(groups.withColumnRenamed("id", "src"), "src")
+    rows = cut(graph.join(groups.withColumnRenamed("id", "src"), "src"))
     most = rows.groupBy("comp").count().agg(F.max("count")).first()[0] or 0
     if most > limit:
         raise ValueError(f"a component of {most} edges does not fit one task; raise the threshold or use components")
@@ -239,7 +240,7 @@ def group(vectors: DataFrame, algorithm: str = "components", least: float = 0.51
     """(id, label) by a strategy of the registry; vectors is (id, v) with unit vectors. An empty table gives an empty result."""
     if algorithm not in STRATEGIES:
         raise ValueError(f"unknown algorithm: {algorithm}")
-    graph = None if algorithm == "density" else neighbour_graph(vectors, neighbours, least)
+    graph = None if algorithm == "density" else cut(neighbour_graph(vectors, neighbours, least))
     return STRATEGIES[algorithm](vectors, graph, **options)
 
 
