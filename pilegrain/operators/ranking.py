@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pilegrain.operators.components import beside
 from pilegrain.session import cut
 
 
@@ -28,3 +29,26 @@ def running_sum(rows: DataFrame, rank: str, sums: dict[str, str], block: int = 1
     for i, (name, c) in enumerate(sums.items()):
         joined = joined.withColumn(name, F.sum(c).over(within) + F.col(f"_o{i}"))
     return joined.drop("_b", *[f"_o{i}" for i in range(len(sums))])
+
+
+def group_median(rows: DataFrame, by: str, value: str, name: str, bins: int = 1024) -> DataFrame:
+    """(by, rows, name): how many rows each group has and the exact median of its values, null where it has none.
+
+    The counts of bins between a group's least and largest value tell in which bins the middle lies; only these are sorted, so no task
+    holds a group. NaN counts as no value.
+    """
+    v = F.when(~F.isnan(value), F.col(value))
+    held = rows.select(by, v.cast("double").alias("_v"))
+    ends = cut(held.groupBy(by).agg(F.count("*").alias("rows"), F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    known = ends.where("_n > 0").select(by, "_n", "_lo", "_hi")
+    place = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins))).otherwise(F.lit(0)).cast("int")
+    placed = beside(held.where("_v IS NOT NULL"), by, known).withColumn("_b", place)
+    counts = placed.groupBy(by, "_b", "_n").agg(F.count("*").alias("_k"))
+    before = F.sum("_k").over(Window.partitionBy(by).orderBy("_b")) - F.col("_k")  # at most so many bins a group
+    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    within = lambda at: (at >= F.col("_before")) & (at < F.col("_before") + F.col("_k"))
+    wanted = counts.withColumn("_before", before).where(within(low) | within(high)).select(by, "_b", "_before")
+    order = Window.partitionBy(by, "_b").orderBy("_v")
+    sought = placed.join(wanted, [by, "_b"]).withColumn("_at", F.col("_before") + F.row_number().over(order) - 1).where((F.col("_at") == low) | (F.col("_at") == high))
+    middle = sought.groupBy(by).agg(F.avg("_v").alias(name))
+    return ends.select(by, "rows").join(middle, by, "left")

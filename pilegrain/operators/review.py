@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pilegrain.operators.ranking import global_rank, running_sum
+from pilegrain.operators.ranking import global_rank, group_median, running_sum
 from pilegrain.operators.scalars import side_by_side, with_scalars
 
 
@@ -98,7 +98,7 @@ def pile_score(n: Column, eye: Column, coherence: Column) -> Column:
 def ranked_piles(members: DataFrame, faces: DataFrame, coherence: DataFrame | None = None) -> DataFrame:
     """(pile_id, faces, eye, score, rank) of piles of two or more; eye is the median eye distance."""
     rows = members.where("pile_id <> -1").join(faces.select("face_id", "interocular_px"), "face_id")
-    piles = rows.groupBy("pile_id").agg(F.count("*").alias("faces"), F.percentile("interocular_px", 0.5).alias("eye")).where("faces >= 2")
+    piles = group_median(rows, "pile_id", "interocular_px", "eye").withColumnRenamed("rows", "faces").where("faces >= 2")
     if coherence is not None:
         piles = piles.join(coherence, "pile_id", "left")
     c = F.coalesce("coherence", F.lit(1.0)) if coherence is not None else F.lit(1.0)

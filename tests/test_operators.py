@@ -249,3 +249,22 @@ def test_density_groups_that_part_below_epsilon_stay_together():
     assert len(set.union(*groups(fine))) == 4
     a, b, c, d = groups(coarse)
     assert a == b and c == d and a != c and len(a) == len(c) == 1
+
+
+def test_group_median_equals_the_exact_percentile(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from pilegrain.operators.ranking import group_median
+
+    r = random.Random(3)
+    rows = [(g, r.choice([None, 1.0, 2.5, r.random() * 100, r.random() * 100, float(r.randrange(4))])) for g in (1, 2, 3) for _ in range(300 * g)]
+    rows += [(4, 7.0)] * 9 + [(5, None)] * 3 + [(6, 2.0), (6, 5.0), (7, -3.0), (8, 1e300), (8, -1e300), (8, 0.0)]
+    df = spark.createDataFrame(rows, "g long, v double")
+    got = {x["g"]: (x["rows"], x["m"]) for x in group_median(df, "g", "v", "m", 16).collect()}
+    want = {x["g"]: (x["n"], x["m"]) for x in df.groupBy("g").agg(F.count("*").alias("n"), F.percentile("v", 0.5).alias("m")).collect()}
+    assert got.keys() == want.keys()
+    for g, (n, m) in want.items():
+        assert got[g][0] == n and (got[g][1] == m or abs(got[g][1] - m) < 1e-9)
+    assert group_median(df.limit(0), "g", "v", "m").collect() == []
