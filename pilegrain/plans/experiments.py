@@ -21,6 +21,12 @@ CUTS = [0.10, 0.15, 0.20, 0.25, 0.30, 0.35, 0.40, 0.45, 0.51, 0.55, 0.60]
 PURE = 0.8
 
 
+def _grouped(spark: SparkSession, sf_dir: str, cuts: list[float]) -> tuple[DataFrame, DataFrame]:
+    """(id) of all vectors, and edges with the components of all pairs at each cut."""
+    faces = cut(vectors.packed(views.face_embeddings(spark, sf_dir)))
+    return faces.select("id"), cut(vectors.spanning(vectors.blocks_of(faces), cuts))
+
+
 def _run(graph: DataFrame, faces: DataFrame, truth: DataFrame, least: float) -> DataFrame:
     """One row of scores of the components at a cut: all faces are grouped, only labelled ones are scored."""
     groups = cut(cluster.by_components(faces, graph.where(F.col("sim") >= least)).select(F.col("id").alias("face_id"), F.col("label").alias("cluster")))
@@ -34,8 +40,7 @@ def _run(graph: DataFrame, faces: DataFrame, truth: DataFrame, least: float) ->
 
 def experiment_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group all vectors by components at every dial, score each grouping against the labels: rows for the table of results."""
-    faces = cut(views.face_vectors(spark, sf_dir))
-    graph = cut(vectors.edges(faces, min(DIALS)))
+    faces, graph = _grouped(spark, sf_dir, DIALS)
     truth = cut(scores._truth(spark, sf_dir))
     rows = [_run(graph, faces, truth, t) for t in DIALS]
     return rows[0].union(rows[1]).union(rows[2])
@@ -43,8 +48,7 @@ def experiment_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def largest_pile_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the largest pile of each cut is: welded (two labelled people or more), person (one), junk (none, and eyes below 0.6 of the median of all), else unknown; core is the share of the strictest cut's largest pile within it."""
-    vectors_ = cut(views.face_vectors(spark, sf_dir))
-    graph = cut(vectors.edges(vectors_, min(DIALS)))
+    vectors_, graph = _grouped(spark, sf_dir, DIALS)
     truth = scores._truth(spark, sf_dir)
     eyes = cut(views.faces(spark, sf_dir, "interocular_px").select(F.col("id").alias("face_id"), "interocular_px"))
     middle = eyes.join(vectors_.select(F.col("id").alias("face_id")), "face_id").agg(F.percentile("interocular_px", 0.5).alias("pool_eye"))
@@ -63,8 +67,7 @@ def largest_pile_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def experiment_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BCubed of the grouping at 0.51 by slice of the labels."""
-    faces = cut(views.face_vectors(spark, sf_dir))
-    groups = cut(cluster.by_components(faces, vectors.edges(faces, 0.51)).select(F.col("id").alias("face_id"), F.col("label").alias("cluster")))
+    groups = cut(cluster.by_components(*_grouped(spark, sf_dir, [0.51])).select(F.col("id").alias("face_id"), F.col("label").alias("cluster")))
     slices = views.gold(spark, sf_dir).where("occlusion IS NOT NULL").select("face_id", F.col("occlusion").alias("slice"))
     return scores._quantised(metrics.by_slice(scores._truth(spark, sf_dir), groups, slices), "precision", "recall", "f1")
 
@@ -130,11 +133,11 @@ def merge_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def closest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest two faces of every two piles that have a pair at or above 0.45, from the graph: no product of two piles is formed."""
-    members = _members(spark, sf_dir)
-    graph = vectors.edges(views.face_vectors(spark, sf_dir), 0.45)
-    both = graph.join(members.select(F.col("face_id").alias("src"), F.col("pile_id").alias("x")), "src").join(members.select(F.col("face_id").alias("dst"), F.col("pile_id").alias("y")), "dst").where("x <> y")
-    return both.groupBy(F.least("x", "y").alias("pile_a"), F.greatest("x", "y").alias("pile_b")).agg(micro(F.max("sim")).alias("sim"), F.count("*").alias("pairs"))
+    """The nearest two faces of every two piles that have a pair at or above 0.45: pairs are told block against block and leave their task as one row a pair of piles."""
+    members = _members(spark, sf_dir).select(F.col("face_id").alias("id"), F.col("pile_id").alias("g"))
+    faces = cut(vectors.packed(views.face_embeddings(spark, sf_dir).join(members, "id")))
+    found = vectors.closest(vectors.blocks_of(faces), 0.45)
+    return found.select(F.col("x").alias("pile_a"), F.col("y").alias("pile_b"), micro(F.col("sim")).alias("sim"), "pairs")
 
 
 def pile_ranking_coherent(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,12 +38,17 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1).cast("long"))).withColumn("day", day)
 
 
-def face_vectors(spark: SparkSession, sf_dir: str, dim: int = 256) -> DataFrame:
-    """(id, v): unit vectors of the model with the most faces, by the current row of each face where it is usable."""
+def face_embeddings(spark: SparkSession, sf_dir: str, dim: int = 256) -> DataFrame:
+    """(id, v): vectors as stored, of the model with the most faces, by the current row of each face where it is usable."""
     rows = table(spark, sf_dir, "face_embeddings")
     model = rows.where("model IS NOT NULL").groupBy("model").agg(F.countDistinct("face_id").alias("faces")).orderBy(F.desc("faces"), "model").first()
     now = current_rows(rows.where(F.col("model") == (model["model"] if model else "")), ["face_id"], "created_at", ["embedding"])
-    return now.where(vectors.usable(F.col("embedding"), dim)).select(F.col("face_id").alias("id"), vectors.unit(F.col("embedding")).alias("v"))
+    return now.where(vectors.usable(F.col("embedding"), dim)).select(F.col("face_id").alias("id"), F.col("embedding").alias("v"))
+
+
+def face_vectors(spark: SparkSession, sf_dir: str, dim: int = 256) -> DataFrame:
+    """(id, v): the same at length one."""
+    return face_embeddings(spark, sf_dir, dim).select("id", vectors.unit(F.col("v")).alias("v"))
 
 
 def decisions_of(labels: DataFrame) -> DataFrame:

@@ -67,6 +67,66 @@ def test_blocks_do_not_change_neighbours(spark):
     assert {(r["src"], r["dst"]) for r in vectors.nearest(v, v, 3, same=True).collect()} == want
 
 
+def _whole(n, seed=3):
+    """Vectors of a byte, of single and of double precision around planted centres, with what all pairs say."""
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=(6, 16))
+    x = centre[rng.integers(0, 6, n)] + 0.7 * rng.normal(size=(n, 16))
+    x[: n // 2] = np.rint(x[: n // 2] * 16) / 32
+    x[n // 2 : 3 * n // 4] = x[n // 2 : 3 * n // 4].astype(np.float32)
+    group = rng.integers(0, 9, n)
+    v = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return [(10 * i, x[i].tolist(), int(group[i])) for i in range(n)], np.triu(v @ v.T, 1) - np.tril(np.full((n, n), 9.0)), group
+
+
+def test_spanning_edges_have_the_components_of_all_pairs(spark):
+    rows, sims, _ = _whole(90)
+    v = spark.createDataFrame(rows, "id long, v array<double>, g long")
+    blocks = vectors.blocks_of(vectors.packed(v), block=20)
+    assert blocks.count() > 2
+    cuts = [0.9, 0.75, 0.6]
+    found = vectors.spanning(blocks, cuts).cache()
+    for t in cuts:
+        s, d = np.nonzero(sims >= t)
+        all_ = spark.createDataFrame([(10 * int(i), 10 * int(j), t) for i, j in zip(s, d, strict=True)], "src long, dst long, sim double")
+        want, got = ({r["id"]: r["label"] for r in cluster.by_components(v, g).collect()} for g in (all_, found.where(F.col("sim") >= t)))
+        assert got == want and len(set(want.values())) > 1
+    assert found.count() < (sims >= min(cuts)).sum()
+
+
+def test_closest_of_every_two_groups(spark):
+    rows, sims, group = _whole(90)
+    blocks = vectors.blocks_of(vectors.packed(spark.createDataFrame(rows, "id long, v array<double>, g long")), block=20)
+    want = {}
+    for i, j in zip(*np.nonzero(sims >= 0.8), strict=True):
+        if group[i] != group[j]:
+            at = tuple(sorted((int(group[i]), int(group[j]))))
+            want[at] = (max(want.get(at, (0, 0))[0], sims[i, j]), want.get(at, (0, 0))[1] + 1)
+    got = {(r["x"], r["y"]): (r["sim"], r["pairs"]) for r in vectors.closest(blocks, 0.8).collect()}
+    assert len(want) > 5 and got.keys() == want.keys()
+    assert all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0], abs=1e-12) for k in want)
+
+
+def test_packed_vectors_are_opened_without_loss(spark):
+    rows, _, _ = _whole(40)
+    v = spark.createDataFrame(rows, "id long, v array<double>, g long")
+    block = vectors.opened(*vectors.blocks_of(vectors.packed(v)).drop("block").first())
+    assert {r["w"] for r in vectors.packed(v).collect()} == {1, 4, 8}
+    want = {r["id"]: list(r["u"]) for r in v.select("id", vectors.unit(F.col("v")).alias("u")).collect()}
+    assert {i: x.tolist() for i, x in zip(block.ids.tolist(), block.v.T, strict=True)} == want
+
+
+@pytest.mark.parametrize("name", ["closest_pairs", "experiment_slices", "experiment_run", "largest_pile_verdict"])
+def test_a_library_meets_itself_without_a_shuffle_of_pairs(spark, sf, name, monkeypatch):
+    from pilegrain.plans import experiments
+
+    def refused(*_, **__):
+        raise AssertionError("blocks of vectors are copied for every other block")
+
+    monkeypatch.setattr(vectors, "blocked", refused)
+    experiments.QUERIES[name](spark, sf).collect()
+
+
 def test_principal_keeps_groups(spark):
     rows, truth = planted([8, 8], 0)
     v = spark.createDataFrame(rows, "id long, v array<double>")
