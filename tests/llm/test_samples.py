@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pilegrain.llm.caps import beyond, day_of, within
@@ -164,3 +165,18 @@ def test_mix_reaches_targets_and_respects_caps(spark):
     assert {r["source"] for r in quotas(targets, source_tokens(sized)).where("asked > most").collect()} == {"none"}
     assert {s for s, r in told.items() if r["short"]} == {"none"}
     assert mixed(sized.limit(0), targets, "doc_id").collect() == []
+
+
+@pytest.mark.parametrize("seed", [0, 2, 3])
+def test_cells_without_records_do_not_change_the_plan(seed):
+    rng = np.random.default_rng(seed)
+    cells = np.unique(rng.integers(0, 12, (400, 6)), axis=0)
+    counts = rng.integers(1, 6, len(cells))
+    goals = []
+    for _ in range(6):
+        goal = np.floor(rng.dirichlet(np.ones(12)) * 300)
+        goal[0] += 300 - goal.sum()
+        goals.append(goal)
+    plan = fit(cells, counts, goals, 300, rounds=20)
+    more = fit(np.r_[cells, np.zeros((400_000, 6), dtype=int)], np.r_[counts, np.zeros(400_000, dtype=int)], goals, 300, rounds=20)
+    assert plan.sum() == 300 and (more[: len(cells)] == plan).all() and not more[len(cells) :].any()
