@@ -240,6 +240,20 @@ def test_banding_grows_with_less_than_the_records():
     assert all(meeting(t, 256, 0.51, r, b) >= 0.92 for t, r, b in (banding(n) for n in (1000, 1_000_000, 100_000_000)))
 
 
+@pytest.mark.parametrize(("n", "most", "work"), [(250_000, 18, 85_000), (22_000_000, 150, 800_000)])
+def test_bands_meet_at_the_rule_and_seldom_by_chance(n, most, work):
+    top, rows, bands = banding(n)
+    assert bands <= most and bands * (2500 + n * meeting(top, 256, 0.0, rows, 1) / 2) < work
+    r = np.random.default_rng(9)
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in r.standard_normal((2, 1000, 256)))
+    b -= (b * a).sum(axis=1, keepdims=True) * a
+    c = 0.51 * a + np.sqrt(1 - 0.51**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    signer = Signer(256, top, rows, bands)
+    ka, kc = (signer.keys(signer.sets(signer.turned(x.astype(np.float32))), range(bands)) for x in (a, c))
+    assert (ka == kc).any(axis=1).mean() > 0.9
+    assert abs((ka == kc).mean() / meeting(top, 256, 0.51, rows, 1) - 1) < 0.1
+
+
 def test_consolidate_of_hubs_trees_and_grids(spark):
     edges = [(0, i) for i in range(1, 4000)] + [(i, 10_000 + i) for i in range(1, 500)]  # a hub with arms
     edges += [(20_000 + i, 20_000 + i // 2) for i in range(1, 300)]  # a tree
