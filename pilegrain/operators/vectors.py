@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pilegrain.session import cut
+from pilegrain.session import cut, width
 
 MARGIN = 1e-4
 #: Vectors of a block, and rows of one matrix product.
 BLOCK, STRIP = 8192, 512
+#: Blocks of a partition whose cells share a forest, at most, and edges of a forest before it is shrunk.
+BESIDE, FOREST = 4, 1_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -175,17 +177,20 @@ def _folded(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nd
     return out
 
 
-def _crossed(blocks: DataFrame, run: Callable[[Block, Block, bool], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """run on every two blocks, and on each with itself; a task reads its blocks where they are, nothing is shuffled."""
+def _crossed(blocks: DataFrame, run: Callable[[Block, Block, bool], Iterator[pa.RecordBatch]], schema: str, after: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter) -> DataFrame:
+    """run on every two blocks, and on each with itself; a task reads its blocks where they are, nothing is shuffled. after gets what the cells of a task gave."""
     a, b = (blocks.select(*[F.col(c).alias(f"{c}_{side}") for c in blocks.columns]) for side in "ab")
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = one = None
         for batch in batches:
-            for x, *left, y, n, head, q in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                one = opened(*left)
+            for row in range(batch.num_rows):
+                x, *left, y, n, head, q = (c[row].as_py() for c in batch.columns)
+                if x != last:
+                    last, one = x, opened(*left)
                 yield from run(one, one if x == y else opened(n, head, q), x == y)
 
-    return a.hint("shuffle_replicate_nl").join(b, F.col("block_a") <= F.col("block_b")).mapInArrow(cells, schema)
+    return a.hint("shuffle_replicate_nl").join(b, F.col("block_a") <= F.col("block_b")).mapInArrow(lambda batches: after(cells(batches)), schema)
 
 
 def _hits(a: Block, b: Block, same: bool, least: float, apart: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -228,9 +233,62 @@ def _hooked(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
             root = up
 
 
+def _told(ids: np.ndarray, roots: list[np.ndarray], levels: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of a forest with the components that roots has at each level; a component of a stricter level is joined by its root alone."""
+    held, out = np.arange(len(ids)), []
+    for t, root in zip(levels, roots, strict=True):
+        x = held[root[held] != held]
+        p, q = ids[x], ids[root[x]]
+        out.append((np.minimum(p, q), np.maximum(p, q), np.full(len(x), t)))
+        held = held[root[held] == held]
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _nested(levels: list[float], most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function from (src, dst, sim) to fewer edges with the same components at each level: one forest, or several of more than most / 2 edges."""
+
+    def shrunk(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        src, dst, sim = (np.concatenate(c) for c in zip(*held, strict=True))
+        ids, flat = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        u, w = flat[: len(src)], flat[len(src) :]
+        root, roots = np.arange(len(ids)), []
+        for t in levels:
+            some = sim == t
+            root = _hooked(root.copy(), u[some], w[some])
+            roots.append(root)
+        return _told(ids, roots, levels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for batch in batches:
+            held.append(tuple(c.to_numpy() for c in batch.columns))
+            size += batch.num_rows
+            if size > most:
+                held = [shrunk(held)]
+                size = len(held[0][0])
+                if size > most // 2:
+                    yield from told(held[0])
+                    held, size = [], 0
+        if size:
+            yield from told(shrunk(held))
+
+    def told(edges: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(edges[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in edges], ["src", "dst", "sim"])
+
+    return run
+
+
 def spanning(blocks: DataFrame, cuts: list[float]) -> DataFrame:
-    """(src, dst, sim), src < dst: edges that at each of the cuts have the components of all pairs at or above it; sim is the largest cut that joins them. A cell of blocks gives less of them than it has vectors."""
+    """(src, dst, sim), src < dst: edges that at each of the cuts have the components of all pairs at or above it; sim is the largest cut that joins them.
+
+    The cells of a task end in one forest, and these forests, put together in a partition for every 16 blocks, in one each.
+    """
     levels = sorted(set(cuts), reverse=True)
+    spark = blocks.sparkSession
+    parts = blocks.count()
+    side = min(parts, max(math.ceil(parts / BESIDE), math.ceil(math.sqrt(6 * spark.sparkContext.defaultParallelism))))
 
     def run(a: Block, b: Block, same: bool) -> Iterator[pa.RecordBatch]:
         ids = a.ids if same else np.concatenate([a.ids, b.ids])
@@ -241,14 +299,10 @@ def spanning(blocks: DataFrame, cuts: list[float]) -> DataFrame:
             for k, t in enumerate(levels):
                 some = np.flatnonzero((sim >= t) & (roots[k][u] != roots[k][to]))
                 roots[k] = _hooked(roots[k], u[some], to[some])
-        held = np.arange(len(ids))
-        for t, root in zip(levels, roots, strict=True):  # a component of a stricter cut is joined by its root alone
-            x = held[root[held] != held]
-            p, q = ids[x], ids[root[x]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(np.full(len(x), t))], ["src", "dst", "sim"])
-            held = held[root[held] == held]
-
-    return _crossed(blocks, run, "src long, dst long, sim double")
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _told(ids, roots, levels)], ["src", "dst", "sim"])
+
+    forests = _crossed(blocks.coalesce(max(1, side)), run, "src long, dst long, sim double", _nested(levels, FOREST))
+    return forests.repartition(min(width(spark), math.ceil(parts / 16) or 1), "src").mapInArrow(_nested(levels, FOREST), "src long, dst long, sim double")
 
 
 def closest(blocks: DataFrame, least: float) -> DataFrame:

@@ -10,7 +10,7 @@ from pilegrain.operators.ranking import global_rank
 from pilegrain.operators.scalars import side_by_side
 from pilegrain.plans import actions, scores
 from pilegrain.plans.scores import micro
-from pilegrain.session import cut, release, width
+from pilegrain.session import cut, release
 from pilegrain.sources import views
 from pilegrain.sources.views import sql_with
 
@@ -25,9 +25,13 @@ def _grouped(spark: SparkSession, sf_dir: str, cuts: list[float]) -> tuple[DataF
     """(id) of all vectors, and edges with the components of all pairs at each cut."""
     faces = cut(vectors.packed(views.face_embeddings(spark, sf_dir)))
     release(spark)  # the vectors as stored
-    graph = cut(vectors.spanning(vectors.blocks_of(faces), cuts))
+    ids, blocks = cut(faces.select("id")), vectors.blocks_of(faces)
+    del faces
+    release(spark)  # the vectors that are not in blocks
+    graph = cut(vectors.spanning(blocks, cuts))
+    del blocks
     release(spark)
-    return faces.select("id"), graph.coalesce(2 * width(spark))
+    return ids, graph
 
 
 def _run(graph: DataFrame, faces: DataFrame, truth: DataFrame, least: float) -> DataFrame:

@@ -94,6 +94,25 @@ def test_spanning_edges_have_the_components_of_all_pairs(spark):
     assert found.count() < (sims >= min(cuts)).sum()
 
 
+def test_spanning_edges_of_many_blocks_are_few(spark, monkeypatch):
+    """Cells of a task share a forest, and forests are put together: the edges do not grow with the number of cells, also where a forest is told in parts."""
+    rows, sims, _ = _whole(90)
+    v = spark.createDataFrame(rows, "id long, v array<double>, g long")
+    blocks = vectors.blocks_of(vectors.packed(v), block=6)
+    parts, cuts = blocks.count(), [0.9, 0.6]
+    found = vectors.spanning(blocks, cuts).collect()
+    assert parts > 10 and len(found) < 90
+    monkeypatch.setattr(vectors, "FOREST", 40)
+    told = vectors.spanning(blocks, cuts).collect()
+    for t in cuts:
+        s, d = np.nonzero(sims >= t)
+        all_ = spark.createDataFrame([(10 * int(i), 10 * int(j), t) for i, j in zip(s, d, strict=True)], "src long, dst long, sim double")
+        want = {r["id"]: r["label"] for r in cluster.by_components(v, all_).collect()}
+        for edges in (found, told):
+            g = spark.createDataFrame(edges, "src long, dst long, sim double").where(F.col("sim") >= t)
+            assert {r["id"]: r["label"] for r in cluster.by_components(v, g).collect()} == want
+
+
 def test_closest_of_every_two_groups(spark):
     rows, sims, group = _whole(90)
     blocks = vectors.blocks_of(vectors.packed(spark.createDataFrame(rows, "id long, v array<double>, g long")), block=20)
