@@ -169,6 +169,42 @@ def test_a_component_of_twenty_thousand(spark):
     assert max(r["n"] for r in parts.collect()) == sum(p == 0 for p in held.values())
 
 
+def test_records_that_the_first_bands_bring_together_meet_the_others_as_one(spark, monkeypatch):
+    """Beyond FEW records most bands see the leaders' groups and what is in none; the piles are those of brute force."""
+    from pilegrain.llm import piles as module
+
+    x, _ = cloud([300, 40, 9, 3, 2, 2], 60, dim=256)
+    x = x[np.random.default_rng(3).permutation(len(x))]
+    want = divide(np.arange(len(x)), np.ones(len(x), dtype=np.int64), x)
+    seen, links = [], module.links
+    monkeypatch.setattr(module, "FEW", 10)
+    monkeypatch.setattr(module, "BLOCK", 128)  # the largest group is salted
+    monkeypatch.setattr(module, "RECALL", 0.999)
+    monkeypatch.setattr(module, "links", lambda items, dim, found, banded, seed: seen.append((found, items.count())) or links(items, dim, found, banded, seed))
+    got = sets(piles(planted(spark, x), 256)[0])
+    assert got == sorted(sorted(int(i) for i in np.flatnonzero(want == p)) for p in set(want) - {-1})
+    assert [found for found, _ in seen] == [n for _, n in seen] and len(seen) == 2
+    assert seen[0][0] == len(x) and seen[1][0] < len(x) / 2
+
+
+def test_first_leaders_of_few_and_many_pairs_follow_one_rule():
+    from pilegrain.llm.piles import _first_leaders
+
+    r = np.random.default_rng(5)
+    u, v = np.nonzero(np.triu(r.random((200, 200)) < 0.15, 1))
+    assert len(u) > 2048
+    to = {}
+    for i, j in zip(u.tolist(), v.tolist(), strict=True):
+        if i not in to and j not in to:
+            to[j] = i
+    a, b = _first_leaders(u, v, 200)
+    assert dict(zip(b.tolist(), a.tolist(), strict=True)) == to
+    few = u < 12
+    a, b = _first_leaders(u[few], v[few], 200)
+    assert 0 < few.sum() < 2048 and dict(zip(b.tolist(), a.tolist(), strict=True)) == {j: i for j, i in to.items() if i < 12}
+    assert [len(z) for z in _first_leaders(u[:0], v[:0], 0)] == [0, 0]
+
+
 def test_members_that_do_not_fit_a_merged_pile_leave(spark):
     from pilegrain.llm.piles import _verified
 
